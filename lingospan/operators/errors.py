@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -203,24 +204,17 @@ def annotation_progress(annotated: DataFrame, key: str = "language") -> DataFram
 NEGATION_WORDS = ["not", "لا", "不", "nicht"]
 
 
-def word_overlap(premise: str = "premise", hypothesis: str = "hypothesis") -> Column:
-    """Share of the distinct hypothesis words that also occur in the premise."""
-    a, b = text.tokens(premise), F.array_distinct(text.tokens(hypothesis))
-    return F.try_divide(F.size(F.array_intersect(b, a)).cast("double"), F.size(b).cast("double"))
-
-
-def _has_negation(column: str, negations: Sequence[str]) -> Column:
+def _negated(column: str, negations: Sequence[str]) -> Column:
     """A negation word as a token of its own; one in a script written without spaces anywhere."""
-    spaced = [w for w in negations if not _is_han(w)]
-    unspaced = [w for w in negations if _is_han(w)]
-    found = F.arrays_overlap(text.tokens(F.lower(F.col(column))), F.array(*[F.lit(w) for w in spaced]))
-    for word in unspaced:
-        found = found | F.contains(F.col(column), F.lit(word))
-    return found
+    spaced = "|".join(re.escape(w) for w in negations if not _is_han(w))
+    unspaced = [re.escape(w) for w in negations if _is_han(w)]
+    inside = r"[\p{L}\p{M}\p{N}]"
+    pattern = "|".join([rf"(?<!{inside})(?:{spaced})(?!{inside})", *unspaced])
+    return F.rlike(column, F.lit(f"(?iu){pattern}"))
 
 
 def _is_han(word: str) -> bool:
-    return any("一" <= c <= "鿿" for c in word)
+    return any("\u4e00" <= c <= "\u9fff" for c in word)
 
 
 def suggest_category(
@@ -228,29 +222,36 @@ def suggest_category(
 ) -> DataFrame:
     """Add ``suggested_category``, a first guess from the category definitions; the first that fits wins.
 
-    E1: half of the hypothesis words are in the premise and entailment was predicted. E2: exactly one side
-    is negated. E3: more tokens per word than the mean of the language. E4: high morphology. E5: word
-    order other than SVO. ``error_category`` stays for people to fill in. ``languages`` bounds the
+    E1: half of the distinct hypothesis words are in the premise and entailment was predicted. E2: exactly
+    one side is negated. E3: more tokens per word than the mean of the language. E4: high morphology. E5:
+    word order other than SVO. ``error_category`` stays for people to fill in. ``languages`` bounds the
     per-language means that are joined back; other languages are compared with no mean.
     """
-    measured = errors.withColumn(
-        "_ratio", text.token_word_ratio(F.concat_ws(" ", F.col("premise"), F.col("hypothesis")))
+    listed = errors.withColumns({"_a": text.tokens("premise"), "_b": text.tokens("hypothesis")})
+    token_total = F.size("_a") + F.size("_b")
+    word_total = text.word_count("premise") + text.word_count("hypothesis")
+    distinct = F.array_distinct("_b")
+    overlap = F.try_divide(F.size(F.array_intersect("_b", "_a")).cast("double"), F.size(distinct).cast("double"))
+    measured = listed.select(
+        *errors.columns,
+        overlap.alias("_overlap"),
+        F.try_divide(token_total.cast("double"), word_total.cast("double")).alias("_ratio"),
     )
+    # At most one row per listed language.
     means = (
         measured.where(F.col("language").isin(list(languages)))
         .groupBy("language")
         .agg(F.avg("_ratio").alias("_mean"))
     )
     joined = measured.join(F.broadcast(means), "language", "left")
-    one_negated = _has_negation("premise", negations) != _has_negation("hypothesis", negations)
     return joined.withColumn(
         "suggested_category",
-        F.when((word_overlap() >= 0.5) & (F.col("predicted_label") == entailment), "E1")
-        .when(one_negated, "E2")
+        F.when((F.col("_overlap") >= 0.5) & (F.col("predicted_label") == entailment), "E1")
+        .when(_negated("premise", negations) != _negated("hypothesis", negations), "E2")
         .when(F.col("_ratio") > F.col("_mean"), "E3")
         .when(F.col("morphology") == "High", "E4")
         .when(F.col("word_order") != "SVO", "E5"),
-    ).drop("_ratio", "_mean")
+    ).drop("_overlap", "_ratio", "_mean")
 
 
 def annotation_help(df: DataFrame) -> DataFrame:

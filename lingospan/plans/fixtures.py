@@ -14,6 +14,7 @@ from lingospan.operators.errors import misclassified, with_language_attributes
 from lingospan.operators.pairs import nonempty_pairs
 from lingospan.operators.scoring import score_logits
 from lingospan.schemas import language_dim
+from lingospan.sources.readers import read_spread
 
 LOGITS_A = ["l0", "l1", "l2"]
 LOGITS_B = ["m0", "m1", "m2"]
@@ -23,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for work on their text."""
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def _premise() -> Column:
-    return F.split_part("text", F.lit("\n"), F.lit(1))
+    return F.substring_index("text", "\n", 1)
 
 
 def _hypothesis() -> Column:
@@ -57,7 +63,7 @@ def pairs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a pair; the split follows the last digit of the id."""
     digit = F.col("doc_id") % 10
     split = F.when(digit < 8, "train").when(digit == 8, "validation").otherwise("test")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("example_id"),
         split.alias("split"),
         "lang",
@@ -115,7 +121,7 @@ def paraphrase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of a document with a tag id from 0 to 6 each."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         "lang",
         text.words("text").alias("tokens"),

@@ -286,7 +286,7 @@ ORACLES: dict[str, str] = {
         FROM pairs_long"""),
     "format_predictions": _with_views("""SELECT example_id,
           ['✅', '🤔', '❌'][predicted_label + 1] || ' **' || ['Entailment', 'Neutral', 'Contradiction'][predicted_label + 1]
-          || '** (' || format('{:.1f}', round(confidence, 6) * 100) || '% confidence)' AS shown FROM preds"""),
+          || '** (' || format('{:.1f}', confidence * 100) || '% confidence)' AS shown FROM preds"""),
     "confidence_long": _with_views("""SELECT example_id, n.name AS label,
           round(CASE n.id WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * 100, 6) AS confidence FROM preds, names n"""),
     "enrich_errors": _with_views("""SELECT example_id, language, language_name, family, script, morphology, word_order

@@ -260,7 +260,7 @@ def preview_pairs(spark, sf_dir):
 @query
 def format_predictions(spark, sf_dir):
     return fx.nli_predictions(spark, sf_dir).select(
-        "example_id", labels.format_prediction("predicted_label", F.round("confidence", 6)).alias("shown")
+        "example_id", labels.format_prediction("predicted_label", "confidence").alias("shown")
     )
 
 
@@ -452,29 +452,28 @@ def label_balance(spark, sf_dir):
 
 @query
 def char_script_counts(spark, sf_dir):
-    return profiling.char_counts(fx.table(spark, sf_dir, "documents"))
+    return profiling.char_counts(fx.documents(spark, sf_dir))
 
 
 @query
 def script_histogram(spark, sf_dir):
-    return profiling.script_histogram(profiling.char_counts(fx.table(spark, sf_dir, "documents")))
+    return profiling.script_histogram(profiling.char_counts(fx.documents(spark, sf_dir)))
 
 
 @query
 def top_scripts(spark, sf_dir):
-    histogram = profiling.script_histogram(profiling.char_counts(fx.table(spark, sf_dir, "documents")))
+    histogram = profiling.script_histogram(profiling.char_counts(fx.documents(spark, sf_dir)))
     return profiling.top_scripts(histogram).select("lang", "script", "n", big("rank").alias("rank"))
 
 
 @query
 def token_word_ratio(spark, sf_dir):
-    documents = fx.table(spark, sf_dir, "documents")
-    return profiling.token_word_ratio(documents, "text", ["doc_id"]).withColumn("ratio", r6("ratio"))
+    return profiling.token_word_ratio(fx.documents(spark, sf_dir), "text", ["doc_id"]).withColumn("ratio", r6("ratio"))
 
 
 @query
 def token_word_ratio_by_language(spark, sf_dir):
-    table = profiling.token_word_ratio_by_language(fx.table(spark, sf_dir, "documents"))
+    table = profiling.token_word_ratio_by_language(fx.documents(spark, sf_dir))
     return table.withColumn("ratio", r6("ratio"))
 
 
@@ -549,7 +548,7 @@ def number_rows_by_language(spark, sf_dir):
 
 @query
 def fit_vocab(spark, sf_dir):
-    fitted = encoding.fit_vocabulary(fx.table(spark, sf_dir, "documents"), ["text"], VOCABULARY_SIZE)
+    fitted = encoding.fit_vocabulary(fx.documents(spark, sf_dir), ["text"], VOCABULARY_SIZE)
     return fitted.select(big("token_id").alias("token_id"), "word", "n")
 
 

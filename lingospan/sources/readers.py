@@ -31,6 +31,24 @@ def load_first_existing(spark: SparkSession, paths: Sequence[str], schema: str |
     return reader.parquet(first_existing(spark, paths))
 
 
+SPREAD_LIMIT = 256 << 20
+
+
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Read a Parquet table for work that is heavy per row, such as splitting texts into words.
+
+    A small table often has a single row group, which only one core can read; below ``SPREAD_LIMIT``
+    bytes its rows are spread over the cores by ``key``. A larger table has enough splits and is not
+    shuffled.
+    """
+    df = spark.read.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getContentSummary(target).getLength() > SPREAD_LIMIT:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def load_splits(
     spark: SparkSession, paths: Sequence[str], splits: Sequence[str] | None = None, schema: str | None = None
 ) -> DataFrame:
