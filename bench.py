@@ -38,14 +38,13 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the JVM's and the Python workers' code paths before the clock runs.
-    for name in ("zero_shot_eval", "char_script_counts"):
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, first = {}, {}
     for name in only:
-        began = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - began, 3)
+        # The second run is reported: the first also loads classes, compiles and starts Python workers.
+        for runs in (first, times):
+            began = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs[name] = round(time.perf_counter() - began, 3)
     spark.stop()
     print(
         json.dumps(
@@ -54,6 +53,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "first_run": first,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

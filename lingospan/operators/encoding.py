@@ -46,9 +46,8 @@ def fit_vocabulary(
     per_count = counts.groupBy("n").agg(F.count("*").alias("words"))
     more_frequent = F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")
     cut = per_count.select("n", more_frequent.alias("ahead")).where(F.col("ahead") < size)
-    # One row; written as a join so that the word counts are shuffled once and read twice.
-    cut = cut.agg(F.min("n").alias("cut"))
-    kept = counts.join(F.broadcast(cut), F.col("n") >= F.col("cut")).select("word", "n")
+    # A scalar subquery; the shuffle of the word counts is made once and read by both branches.
+    kept = counts.where(F.col("n") >= cut.agg(F.min("n")).scalar())
     top = kept.orderBy(F.desc("n"), "word").limit(size)
     place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return top.select((place + len(SPECIAL_TOKENS) - 1).cast("int").alias("token_id"), "word", "n")
@@ -185,10 +184,7 @@ def encode(
     elif batch:
         width = F.max(length).over(Window.partitionBy(batch))
     else:
-        longest = rows.agg(F.max(length).alias("_width"))
-        # One row.
-        rows = rows.join(F.broadcast(longest))
-        width = F.col("_width")
+        width = rows.agg(F.max(length)).scalar()
     rows = rows.withColumn("_pad", width - length)
     return rows.select(
         *keep,

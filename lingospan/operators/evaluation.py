@@ -36,7 +36,8 @@ def accuracy_by_language(df: DataFrame, languages: Sequence[str], lang: str = "l
         .agg(F.count("*").alias("n"), _correct().alias("correct"))
     )
     wanted = literal_frame(df.sparkSession, list(enumerate(languages)), f"position INT, {lang} STRING")
-    return wanted.join(counted, lang, "left").select(
+    # At most one row per requested language.
+    return wanted.join(F.broadcast(counted), lang, "left").select(
         "position",
         lang,
         F.coalesce("n", F.lit(0)).alias("n"),

@@ -57,6 +57,7 @@ def dataset_sizes(df: DataFrame, splits: Sequence[str] = SPLITS) -> DataFrame:
     return df.groupBy("lang").pivot("split", list(splits)).agg(F.count(F.lit(1))).na.fill(0)
 
 
+BLOCK_CHARS = 1 << 23
 _CODE_POINTS = "grp STRING, code_point INT, n BIGINT"
 
 
@@ -74,12 +75,11 @@ def char_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            for key, texts in frame.groupby("grp", dropna=False)["text"]:
-                joined = "".join(texts.dropna())
-                if not joined:
-                    continue
-                points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+            frame = batch.to_pandas().dropna(subset=["text"])
+            # Blocks of bounded length, so that long texts do not pile up in memory.
+            block = frame["text"].str.len().cumsum() // BLOCK_CHARS
+            for (key, _), texts in frame.groupby(["grp", block], dropna=False)["text"]:
+                points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 totals = np.bincount(points)
                 seen = np.flatnonzero(totals)
                 yield pa.RecordBatch.from_arrays(

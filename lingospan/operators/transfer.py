@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
@@ -55,6 +56,18 @@ def pair_pipeline(num_features: int = 1 << 14, max_iter: int = 20, reg_param: fl
     return Pipeline(stages=[*stages, overlap, assembler, classifier])
 
 
+def fit_pairs(train: DataFrame, **settings) -> PipelineModel:
+    """Fit the pair pipeline. Features are computed once: the classifier passes over them several times."""
+    *stages, classifier = pair_pipeline(**settings).getStages()
+    encoder = PipelineModel(stages)
+    features = encoder.transform(train.select("premise", "hypothesis", "label")).select("features", "label")
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel([*stages, classifier.fit(features)])
+    finally:
+        features.unpersist()
+
+
 def train_and_evaluate(
     pairs: DataFrame,
     languages: Sequence[str],
@@ -66,7 +79,7 @@ def train_and_evaluate(
 ) -> TransferResult:
     """Fit on the training rows of the source language; score the evaluation rows of every language."""
     train, test = train_eval_frames(pairs, source_lang, languages, train_split, eval_split)
-    model = pair_pipeline(**settings).fit(train.select("premise", "hypothesis", "label"))
+    model = fit_pairs(train, **settings)
     scored = score_pipeline(test, model, names).withColumnRenamed("label", "gold_label")
     history = list(model.stages[-1].summary.objectiveHistory)
     return TransferResult(model, history, scored, zero_shot_eval(scored, languages, source_lang))

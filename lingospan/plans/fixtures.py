@@ -20,13 +20,23 @@ LOGITS_A = ["l0", "l1", "l2"]
 LOGITS_B = ["m0", "m1", "m2"]
 
 
+# Declared, so that opening a table starts no job to read file footers.
+TABLES = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, spread over the cores for work on their text."""
-    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", TABLES["documents"])
 
 
 def _premise() -> Column:
@@ -51,12 +61,13 @@ def logits_of(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def nli_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logits_of(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents"))
+def nli_logits(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    texts = documents(spark, sf_dir) if spread else table(spark, sf_dir, "documents")
+    return logits_of(table(spark, sf_dir, "embeddings"), texts)
 
 
-def nli_predictions(spark: SparkSession, sf_dir: str, logits: list[str] = LOGITS_A) -> DataFrame:
-    return score_logits(nli_logits(spark, sf_dir), logits)
+def nli_predictions(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return score_logits(nli_logits(spark, sf_dir, spread), LOGITS_A)
 
 
 def pairs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +151,9 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_log(spark, sf_dir).groupBy("epoch").agg(F.avg(hit).alias("val_accuracy"))
 
 
-def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def errors(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """All misclassified non-empty pairs with the attributes of their language."""
-    wrong = misclassified(nonempty_pairs(nli_predictions(spark, sf_dir)))
+    wrong = misclassified(nonempty_pairs(nli_predictions(spark, sf_dir, spread)))
     return with_language_attributes(wrong.withColumnRenamed("lang", "language"), language_dim(spark))
 
 

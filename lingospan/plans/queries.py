@@ -46,7 +46,7 @@ def r6(c: Column | str) -> Column:
 def load_splits(spark, sf_dir):
     """Rows and characters per split of a stored corpus, the first of two paths that exists."""
     paths = [f"{sf_dir}/no_such_corpus.parquet", f"{sf_dir}/documents.parquet"]
-    documents = readers.load_first_existing(spark, paths)
+    documents = readers.load_first_existing(spark, paths, fx.TABLES["documents"])
     digit = F.col("doc_id") % 10
     split = F.when(digit < 8, "train").when(digit == 8, "validation").otherwise("test")
     return (
@@ -431,7 +431,7 @@ def category_by_script(spark, sf_dir):
 
 @query
 def suggest_category(spark, sf_dir):
-    named = fx.errors(spark, sf_dir).withColumn("predicted_label", F.col("predicted_name"))
+    named = fx.errors(spark, sf_dir, spread=True).withColumn("predicted_label", F.col("predicted_name"))
     return errors.suggest_category(named, LANGUAGES).select("example_id", "language", "suggested_category")
 
 
@@ -666,10 +666,7 @@ def zero_shot_transfer(spark, sf_dir):
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = fx.table(spark, sf_dir, "embeddings").schema
-    embeddings = streaming.read_pair_stream(
-        spark, f"{sf_dir}/embeddings*.parquet", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    )
+    embeddings = streaming.read_pair_stream(spark, f"{sf_dir}/embeddings*.parquet", fx.TABLES["embeddings"])
     return fx.logits_of(embeddings, fx.table(spark, sf_dir, "documents"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lingospan.schemas import ANNOTATION_DDL, ERROR_DDL, PAIRS_DDL
 
@@ -34,14 +35,14 @@ def load_first_existing(spark: SparkSession, paths: Sequence[str], schema: str |
 SPREAD_LIMIT = 256 << 20
 
 
-def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+def read_spread(spark: SparkSession, path: str, key: str, schema: str | None = None) -> DataFrame:
     """Read a Parquet table for work that is heavy per row, such as splitting texts into words.
 
     A small table often has a single row group, which only one core can read; below ``SPREAD_LIMIT``
     bytes its rows are spread over the cores by ``key``. A larger table has enough splits and is not
     shuffled.
     """
-    df = spark.read.parquet(path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.getContentSummary(target).getLength() > SPREAD_LIMIT:
@@ -63,16 +64,22 @@ def load_languages(spark: SparkSession, paths: Sequence[str], languages: Sequenc
     return df.where(F.col("lang").isin(list(languages)))
 
 
+FILE_LIST_LIMIT = 256 << 20
+
+
 def attach_ids(df: DataFrame, out: str = "example_id") -> DataFrame:
     """Add a BIGINT id to a frame read from Parquet: the place of the row in the sorted list of files.
 
     The id is the file's number times 2^40 plus the row's number in the file, so it follows stored order,
-    is the same on every run, and costs no sort. Catalyst broadcasts the list of files while it is small.
+    is the same on every run, and costs no sort. The list of files, which the driver holds anyway, is
+    broadcast up to ``FILE_LIST_LIMIT`` bytes and joined with a shuffle beyond.
     """
     files = sorted(re.sub("^file:/+", "file:/", f) for f in df.inputFiles())
     numbers = df.sparkSession.createDataFrame(
         pa.table({"_file": pa.array(files, pa.string()), "_number": pa.array(range(len(files)), pa.int64())})
     )
+    if sum(map(len, files)) <= FILE_LIST_LIMIT:
+        numbers = F.broadcast(numbers)
     path = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
     placed = df.select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_row"))
     unknown = F.raise_error(F.concat(F.lit("file not listed: "), F.col("_file"))).cast("bigint")
@@ -87,7 +94,7 @@ def read_json_errors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ERROR_DDL).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """CSV with header and quoted line breaks; only an empty field is NULL."""
     return (
         spark.read.schema(schema)
