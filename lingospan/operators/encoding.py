@@ -6,7 +6,6 @@ Layout: ``<s> A </s> </s> B </s>`` for a pair and ``<s> A </s>`` for one text, p
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,9 +27,8 @@ Tokenizer = Callable[[Column], Column]
 
 def count_words(df: DataFrame, columns: Sequence[str], tokenizer: Tokenizer = text.tokens) -> DataFrame:
     """Occurrences of each word over all rows and the given text columns."""
-    exploded = [df.select(F.explode(tokenizer(F.col(c))).alias("word")) for c in columns]
-    both = reduce(DataFrame.unionByName, exploded)
-    return both.groupBy("word").agg(F.count("*").alias("n"))
+    listed = F.concat(*[tokenizer(text.text_or_empty(c)) for c in columns])
+    return df.select(F.explode(listed).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def fit_vocabulary(
@@ -62,7 +60,7 @@ class Vocabulary:
     def __init__(self, spark: SparkSession, words: Sequence[str]):
         self.spark = spark
         self.words = list(words)
-        self._shared = spark.sparkContext.broadcast(self.words)
+        self._shared = spark.sparkContext.broadcast(pa.array(self.words, pa.string()))
 
     @classmethod
     def from_frame(cls, frame: DataFrame) -> Vocabulary:
@@ -97,7 +95,7 @@ class Vocabulary:
 
         @F.arrow_udf("array<int>")
         def lookup(batch: pa.Array) -> pa.Array:
-            found = pc.index_in(batch.flatten(), value_set=pa.array(shared.value, pa.string()))
+            found = pc.index_in(batch.flatten(), value_set=shared.value)
             ids = pc.fill_null(pc.add(found, pa.scalar(first, pa.int32())), unknown)
             return pa.ListArray.from_arrays(_offsets(batch), ids.cast(pa.int32()))
 
@@ -109,7 +107,7 @@ class Vocabulary:
 
         @F.arrow_udf("array<string>")
         def lookup(batch: pa.Array) -> pa.Array:
-            table = pa.array(specials + shared.value, pa.string())
+            table = pa.concat_arrays([pa.array(specials, pa.string()), shared.value])
             flat = batch.flatten()
             known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
             return pa.ListArray.from_arrays(_offsets(batch), table.take(pc.if_else(known, flat, unknown)))

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -145,18 +145,31 @@ def token_word_ratio_by_language(df: DataFrame, column: str = "text", lang: str
 def text_length_stats(df: DataFrame, column: str = "text", lang: str = "lang") -> DataFrame:
     """Length in characters per language: rows, mean, median, 95th percentile, maximum.
 
-    The percentiles are exact; they keep one counter per distinct length and language, not per row.
+    Rows are first reduced to one per language and length, spread over all tasks; the exact percentiles
+    then come from a running count over those.
     """
-    return (
+    counts = (
         df.select(lang, F.length(column).cast("bigint").alias("chars"))
-        .groupBy(lang)
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("chars").alias("avg_chars"),
-            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY chars)").cast("bigint").alias("p50_chars"),
-            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY chars)").cast("bigint").alias("p95_chars"),
-            F.max("chars").alias("max_chars"),
-        )
+        .groupBy(lang, "chars")
+        .agg(F.count("*").alias("n"))
+    )
+    by_lang = Window.partitionBy(lang)
+    running = counts.withColumns(
+        {
+            "upto": F.sum("n").over(by_lang.orderBy(F.asc_nulls_last("chars"))),
+            "filled": F.sum(F.when(F.col("chars").isNotNull(), F.col("n"))).over(by_lang),
+        }
+    )
+
+    def percentile(percent: int) -> Column:
+        return F.min(F.when(F.col("upto") * 100 >= F.col("filled") * percent, F.col("chars")))
+
+    return running.groupBy(lang).agg(
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum(F.col("chars") * F.col("n")).cast("double"), F.max("filled")).alias("avg_chars"),
+        percentile(50).alias("p50_chars"),
+        percentile(95).alias("p95_chars"),
+        F.max("chars").alias("max_chars"),
     )
 
 

@@ -235,6 +235,10 @@ ORACLES: dict[str, str] = {
           count(d.doc_id) AS n
         FROM (VALUES (1), (2)) r(run) CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr'), ('ja')) l(lang)
         LEFT JOIN documents d ON d.lang = l.lang GROUP BY ALL""",
+    "load_languages": """SELECT l.lang, CASE l.lang WHEN 'zh' THEN 'no rows' ELSE 'saved' END AS status,
+          CASE WHEN l.lang IN ('de', 'en') THEN count(d.doc_id) END AS n,
+          CASE WHEN l.lang IN ('de', 'en') THEN CAST(sum(d.n_chars) AS BIGINT) END AS chars
+        FROM (VALUES ('de'), ('en'), ('fr'), ('zh')) l(lang) LEFT JOIN documents d ON d.lang = l.lang GROUP BY l.lang""",
     "dataset_sizes": _with_views("""SELECT lang, count(*) FILTER (WHERE split = 'train') AS train,
           count(*) FILTER (WHERE split = 'validation') AS validation, count(*) FILTER (WHERE split = 'test') AS test
         FROM pairs_long GROUP BY lang"""),
@@ -387,6 +391,7 @@ ORACLES: dict[str, str] = {
           max(length(text)) AS max_chars FROM documents GROUP BY lang""",
     "sample_rows": """SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, doc_id, text
         FROM documents) t WHERE rank <= 100""",
+    "first_rows": "SELECT doc_id, lang, text FROM documents ORDER BY doc_id LIMIT 3",
     "feature_types": """SELECT CAST(0 AS BIGINT) AS position, 'doc_id' AS "column", 'bigint' AS type, count(doc_id) AS filled
         FROM labels UNION ALL SELECT 1, 'quality', 'int', count(quality) FROM labels
         UNION ALL SELECT 2, 'toxic', 'int', count(toxic) FROM labels""",

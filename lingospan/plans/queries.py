@@ -72,6 +72,17 @@ def ingest_status(spark, sf_dir):
     )
 
 
+@query
+def load_languages(spark, sf_dir):
+    """The corpus stored by language in one pass, then read back for two languages that exist and one that does not."""
+    target = work_folder(spark, "by-language")
+    documents = fx.table(spark, sf_dir, "documents")
+    status = ingest.ingest_by_language(spark, "corpus", documents, ["de", "en", "fr", "zh"], target)
+    stored = readers.load_languages(spark, [f"{target}/corpus"], ["de", "en", "zh"])
+    sizes = stored.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return status.join(sizes, "lang", "left").select("lang", "status", "n", "chars")
+
+
 @query
 def dataset_sizes(spark, sf_dir):
     return profiling.dataset_sizes(fx.pairs_long(spark, sf_dir))
@@ -490,6 +501,12 @@ def sample_rows(spark, sf_dir):
     return first.select("lang", big("rank").alias("rank"), "doc_id", "text")
 
 
+@query
+def first_rows(spark, sf_dir):
+    """The first three documents."""
+    return ordering.first_rows(fx.table(spark, sf_dir, "documents"), "doc_id", 3).select("doc_id", "lang", "text")
+
+
 @query
 def feature_types(spark, sf_dir):
     """Columns, types and filled rows of a table."""

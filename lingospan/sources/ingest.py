@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lingospan.schemas import literal_frame
-from lingospan.sources.readers import path_exists
+from lingospan.sources.readers import create_file, path_exists
+from lingospan.sources.writers import write_partitioned
 
 STATUS_DDL = "dataset STRING, lang STRING, status STRING, error STRING"
 
@@ -45,3 +47,30 @@ def ingest_languages(
         except Exception as problem:
             rows.append((name, lang, "error", f"{type(problem).__name__}: {problem}".split("\n")[0]))
     return literal_frame(spark, rows, STATUS_DDL)
+
+
+def ingest_by_language(
+    spark: SparkSession, name: str, df: DataFrame, languages: Sequence[str], save_dir: str, lang: str = "lang"
+) -> DataFrame:
+    """Store the missing languages of one table in a single pass; same folders and status rows.
+
+    The job commits all languages or none, unlike one job per language.
+    """
+    base = f"{save_dir.rstrip('/')}/{name}"
+    folders = {code: f"{base}/lang={code}" for code in languages}
+    status = {}
+    for code, folder in folders.items():
+        if path_exists(spark, folder):
+            status[code] = "skipped" if path_exists(spark, f"{folder}/_SUCCESS") else "incomplete"
+    missing = [code for code in languages if code not in status]
+    if missing:
+        rows = df.where(F.col(lang).isin(missing)).withColumnRenamed(lang, "lang")
+        write_partitioned(rows, base, ["lang"], "append")
+        for code in missing:
+            # A language without rows gets no folder.
+            if path_exists(spark, folders[code]):
+                create_file(spark, f"{folders[code]}/_SUCCESS")
+                status[code] = "saved"
+            else:
+                status[code] = "no rows"
+    return literal_frame(spark, [(name, code, status[code], None) for code in languages], STATUS_DDL)

@@ -13,10 +13,21 @@ from pyspark.sql import types as T
 from lingospan.schemas import ANNOTATION_DDL, ERROR_DDL, PAIRS_DDL
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def create_file(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    files, target = _file_system(spark, path)
+    files.createNewFile(target)
 
 
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
@@ -43,8 +54,7 @@ def read_spread(spark: SparkSession, path: str, key: str, schema: str | None = N
     shuffled.
     """
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, target = _file_system(spark, path)
     if files.getContentSummary(target).getLength() > SPREAD_LIMIT:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism, key)

@@ -39,9 +39,15 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("lang", "split"), mode: str = "overwrite") -> None:
+def write_partitioned(
+    df: DataFrame, path: str, by: Sequence[str] = ("lang", "split"), mode: str = "overwrite", rebalance: bool = True
+) -> None:
     """Parquet in one folder per language and split.
 
-    Rows are not shuffled by language, so a big language is written by all tasks that hold its rows.
+    Rows are first brought together by folder, so that not every task writes a small file into every
+    folder. Spark cuts a large folder into several tasks and joins small ones (``rebalance``), so the
+    biggest language is not left to one task.
     """
+    if rebalance:
+        df = df.hint("rebalance", *by)
     df.write.mode(mode).partitionBy(*by).parquet(path)

@@ -58,6 +58,20 @@ def test_ingest(spark, tmp_path):
     assert got["de"] == ("error", "OSError: no such source")
 
 
+def test_ingest_by_language_is_one_pass_and_resumable(spark, tmp_path):
+    rows = [[i, "en" if i % 4 else "de"] for i in range(40)]
+    df = literal_frame(spark, rows, "id INT, language STRING")
+
+    def run(langs):
+        status = ingest.ingest_by_language(spark, "c", df, langs, str(tmp_path), "language")
+        return {r.lang: r.status for r in status.collect()}
+
+    assert run(["en", "hi"]) == {"en": "saved", "hi": "no rows"}
+    assert run(["en", "de"]) == {"en": "skipped", "de": "saved"}
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    assert {(r.id, r.lang) for r in stored.collect()} == {tuple(r) for r in rows} and stored.count() == 40
+
+
 def test_attach_ids_follow_stored_order(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(1000).repartition(3)
