@@ -47,6 +47,12 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(text_or_empty(c), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def first_tokens(c: Column | str, n: int) -> Column:
+    """The first ``n`` tokens. The text is read no further than the end of the last of them."""
+    one = r"[\s\x1c-\x1f]*+(?:[\p{L}\p{M}\p{N}]++|[^\s\x1c-\x1f])"
+    return tokens(F.regexp_extract(text_or_empty(c), rf"(?U)^(?:{one}){{0,{n}}}+", 0))
+
+
 def word_count(c: Column | str) -> Column:
     return F.size(words(c)).cast("bigint")
 

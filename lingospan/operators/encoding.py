@@ -132,6 +132,17 @@ def _ids(*values: int) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+# Up to this many tokens, finding where they end costs less than splitting the whole text.
+EARLY_STOP = 512
+
+
+def _kept_tokens(c: Column, budget: int, tokenizer: Tokenizer) -> Column:
+    """The tokens that can survive truncation; no others are split off or sent to Python."""
+    if tokenizer is text.tokens and budget <= EARLY_STOP:
+        return text.first_tokens(c, budget)
+    return F.slice(tokenizer(c), 1, budget)
+
+
 def encode(
     df: DataFrame,
     vocabulary: Vocabulary,
@@ -157,10 +168,7 @@ def encode(
     budget = max_length - (4 if second is not None else 2)
     if budget < 1:
         raise ValueError("max_length leaves no room for text")
-    # No more than the budget can survive truncation, so longer lists need not travel to Python.
-    listed = {
-        c: F.slice(tokenizer(language_text(df, c, lang or "", missing)), 1, budget) for c in texts
-    }
+    listed = {c: _kept_tokens(language_text(df, c, lang or "", missing), budget, tokenizer) for c in texts}
     carried = [*keep, *([batch] if batch and batch not in keep else [])]
     labels = [F.col(label).alias("labels")] if label else []
     rows = df.select(

@@ -14,6 +14,7 @@ from lingospan.functions import text
 from lingospan.functions.labels import decode_label
 from lingospan.operators.ordering import first_n_per_group
 from lingospan.operators.pairs import nonempty_pairs
+from lingospan.operators.profiling import count_tokens_and_words
 from lingospan.schemas import ERROR_CATEGORIES, NLI_LABELS, literal_frame
 
 ATTRIBUTES = ("family", "script", "morphology", "word_order")
@@ -227,16 +228,18 @@ def suggest_category(
     word order other than SVO. ``error_category`` stays for people to fill in. ``languages`` bounds the
     per-language means that are joined back; other languages are compared with no mean.
     """
-    listed = errors.withColumns({"_a": text.tokens("premise"), "_b": text.tokens("hypothesis")})
-    token_total = F.size("_a") + F.size("_b")
-    word_total = text.word_count("premise") + text.word_count("hypothesis")
-    distinct = F.array_distinct("_b")
-    overlap = F.try_divide(F.size(F.array_intersect("_b", "_a")).cast("double"), F.size(distinct).cast("double"))
-    measured = listed.select(
+    both = errors.withColumn("_text", F.concat_ws(" ", F.col("premise"), F.col("hypothesis")))
+    counted = both.withColumn("_c", count_tokens_and_words(both, "_text"))
+    measured = counted.select(
         *errors.columns,
-        overlap.alias("_overlap"),
-        F.try_divide(token_total.cast("double"), word_total.cast("double")).alias("_ratio"),
+        F.try_divide(F.col("_c.tokens").cast("double"), F.col("_c.words").cast("double")).alias("_ratio"),
     )
+    # Texts are split only where the rule can apply.
+    mentioned = F.array_distinct(text.tokens("hypothesis"))
+    overlap = F.try_divide(
+        F.size(F.array_intersect(mentioned, text.tokens("premise"))).cast("double"), F.size(mentioned).cast("double")
+    )
+    overlapping = F.when(F.col("predicted_label") == entailment, overlap >= 0.5)
     # At most one row per listed language.
     means = (
         measured.where(F.col("language").isin(list(languages)))
@@ -246,12 +249,12 @@ def suggest_category(
     joined = measured.join(F.broadcast(means), "language", "left")
     return joined.withColumn(
         "suggested_category",
-        F.when((F.col("_overlap") >= 0.5) & (F.col("predicted_label") == entailment), "E1")
+        F.when(overlapping, "E1")
         .when(_negated("premise", negations) != _negated("hypothesis", negations), "E2")
         .when(F.col("_ratio") > F.col("_mean"), "E3")
         .when(F.col("morphology") == "High", "E4")
         .when(F.col("word_order") != "SVO", "E5"),
-    ).drop("_overlap", "_ratio", "_mean")
+    ).drop("_ratio", "_mean")
 
 
 def annotation_help(df: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lingospan.schemas import TRAIN_LOG_DDL, literal_frame
+
 
 def epoch_loss(log: DataFrame) -> DataFrame:
     """Mean loss over the steps of each epoch."""
@@ -22,3 +26,8 @@ def best_epoch(epochs: DataFrame, run: str | None = None) -> DataFrame:
     return epochs.withColumn("best_before", F.greatest(F.lit(0.0), F.coalesce(before, F.lit(0.0)))).withColumn(
         "is_best", F.col("val_accuracy") > F.col("best_before")
     )
+
+
+def training_log(spark: SparkSession, losses: Sequence[float], epoch: int = 1) -> DataFrame:
+    """The objective after each iteration of a fit, as a log table."""
+    return literal_frame(spark, [(epoch, step, loss) for step, loss in enumerate(losses)], TRAIN_LOG_DDL)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,11 +127,68 @@ def top_scripts(histogram: DataFrame, k: int = 3, group: str = "lang") -> DataFr
     return histogram.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def token_word_ratio(df: DataFrame, column: str = "text", keep: Sequence[str] = ("example_id",)) -> DataFrame:
-    """Tokens, words and tokens per word of each text."""
-    counted = df.select(
-        *keep, text.token_count(column).alias("tokens"), text.word_count(column).alias("words")
+SPACE, WORD_PART, OTHER = range(3)
+
+
+@cache
+def _character_kinds() -> np.ndarray:
+    """Whether each code point separates words, is part of a run of letters, marks and digits, or stands alone."""
+    kinds = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+    for point in range(sys.maxunicode + 1):
+        ch = chr(point)
+        if ch.isspace():
+            kinds[point] = SPACE
+        elif unicodedata.category(ch)[0] in "LMN":
+            kinds[point] = WORD_PART
+    return kinds
+
+
+def _count_block(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and words of each text, from the kinds of the characters of all of them in one array."""
+    ends = np.cumsum([len(t) for t in texts])
+    kind = kinds[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)]
+    before = np.empty_like(kind)
+    before[1:] = kind[:-1]
+    starts = np.concatenate([[0], ends[:-1]])
+    before[starts[starts < len(kind)]] = SPACE
+
+    def per_text(marks: np.ndarray) -> np.ndarray:
+        running = np.concatenate([[0], np.cumsum(marks)])
+        return running[ends] - running[starts]
+
+    return (
+        per_text((kind == OTHER) | ((kind == WORD_PART) & (before != WORD_PART))),
+        per_text((kind != SPACE) & (before == SPACE)),
     )
+
+
+def count_tokens_and_words(df: DataFrame, column: str) -> Column:
+    """STRUCT<tokens, words> of a text column, counted with numpy over Arrow batches.
+
+    Counts what ``text.tokens`` and ``text.words`` list, without listing it: several times faster than a
+    regular expression.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(_character_kinds())
+
+    @F.arrow_udf("tokens bigint, words bigint")
+    def count(batch: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.utf8_length(batch), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(sizes, dtype=np.int64) // BLOCK_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(batch)]
+        parts = [
+            _count_block(pc.fill_null(batch.slice(i, j - i), "").to_pylist(), shared.value)
+            for i, j in zip(cuts, cuts[1:])
+            if j > i
+        ]
+        columns = [np.concatenate([p[k] for p in parts]) if parts else [] for k in range(2)]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tokens", "words"])
+
+    return count(F.col(column))
+
+
+def token_word_ratio(df: DataFrame, column: str = "text", keep: Sequence[str] = ("example_id",)) -> DataFrame:
+    """Tokens, words and tokens per word of each text; NULL for a text without words."""
+    counted = df.select(*keep, count_tokens_and_words(df, column).alias("_c")).select(*keep, "_c.tokens", "_c.words")
     return counted.withColumn("ratio", F.try_divide(F.col("tokens").cast("double"), F.col("words")))
 
 

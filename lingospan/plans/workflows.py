@@ -73,6 +73,12 @@ def report(scored: DataFrame, config: Config) -> DataFrame:
     return table.withColumns(shown).orderBy("position")
 
 
+def compare(spark: SparkSession, config: Config, scorer_a, scorer_b, **options) -> DataFrame:
+    """Two models, such as a baseline and a tuned one, on the same evaluation rows, per language."""
+    scored = [score_eval_split(spark, config, scorer, **options) for scorer in (scorer_a, scorer_b)]
+    return evaluation.compare_models(*scored)
+
+
 @dataclass
 class ErrorReport:
     """Error records with their summaries, or the analysis of an annotated sheet."""

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lingospan.functions import text
 from lingospan.operators import errors, history, profiling
 from lingospan.schemas import ERROR_DDL, NLI_LABELS, category_dim, language_dim, literal_frame
 from lingospan.sources.examples import TOKEN_TEXTS, token_texts
@@ -150,6 +151,21 @@ def test_token_ratios(spark):
     assert by_lang["en"] == pytest.approx(10 / 9)
 
 
+def test_counts_match_the_listed_tokens(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "BLOCK_CHARS", 40)
+    rng = random.Random(9)
+    alphabet = ["a", "Z", "9", "é", "e\u0301", "ß", "猫", "か", "क", "\u093f", "ا", "\u0651", ".", "-", "_", "😀", " ", " ", "\n", "\u00a0", "\u3000", "\x1c", "\u200b"]
+    rows = [[i, "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 60])))] for i in range(300)]
+    df = literal_frame(spark, [*rows, [300, None]], "i INT, t STRING")
+    counted = df.select(
+        "i", profiling.count_tokens_and_words(df, "t").alias("c"), text.token_count("t").alias("n"), text.word_count("t").alias("w"),
+        *[(text.first_tokens("t", k) == F.slice(text.tokens("t"), 1, k)).alias(f"k{k}") for k in (1, 4, 500)],
+    )
+    for row in counted.collect():
+        assert (row.c.tokens, row.c.words) == (row.n, row.w), row
+        assert row.k1 and row.k4 and row.k500
+
+
 def test_label_distribution(spark):
     rows = [["train", 0], ["train", 0], ["train", 2], ["train", 7], ["test", 1], ["other", 1]]
     table = profiling.label_distribution(literal_frame(spark, rows, "split STRING, label INT"), NLI_LABELS)

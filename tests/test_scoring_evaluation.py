@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lingospan.operators import evaluation, scoring, transfer
+from lingospan.operators import evaluation, history, scoring, transfer
 from lingospan.schemas import language_dim, literal_frame
 
 # Models defined in this file travel to the tasks.
@@ -174,6 +174,7 @@ def test_training_beats_the_majority_class(spark, tmp_path):
     table = {r.lang: r for r in result.evaluation.collect()}
     assert table["en"].accuracy > 0.9 and table["de"].n > 0
     assert result.loss_history[-1] < result.loss_history[0]
+    assert history.epoch_loss(history.training_log(spark, result.loss_history)).first().steps == len(result.loss_history)
     path = str(tmp_path / "model")
     transfer.save_model(result.model, path)
     loaded = transfer.load_first_model(spark, [str(tmp_path / "absent"), path])

@@ -147,6 +147,18 @@ def test_error_mining_and_annotation(spark, tmp_path):
     assert {tuple(r) for r in analysed.summaries["by_language"].collect()} == {("English", 2), ("German", 2)}
 
 
+def other_loader():
+    return lambda p, h: np.stack([np.ones(len(p)), h.str.len() % 4, p.str.len() % 3], axis=1)
+
+
+def test_compare_two_models(spark, tmp_path):
+    config = corpus(spark, tmp_path)
+    rows = {r.lang: r for r in workflows.compare(spark, config, loader, other_loader).collect()}
+    assert set(rows) == {"en", "de", "fr"} and all(r.n == 67 and r.agree < 67 for r in rows.values())
+    same = workflows.compare(spark, config, loader, loader).first()
+    assert same.agree == same.n and same.accuracy_delta == 0
+
+
 def test_encoded_sets(spark, tmp_path):
     config = corpus(spark, tmp_path)
     train, test = workflows.prepare_sets(spark, config, encoding.Vocabulary(spark, ["premise", "text"]))
