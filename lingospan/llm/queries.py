@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingospan.llm import fingerprints, mixing, sharding
+from lingospan.llm import fingerprints, language, mixing, near_duplicates, pages, quality, sharding
 from lingospan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,13 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_chunk_fingerprints": _over("documents", fingerprints.op1_chunk_fingerprints),
+    "op2_forest_components": _over("documents", near_duplicates.op2_forest_components),
+    "op3_nearest_url_difference": _over("pages", pages.op3_nearest_url_difference),
     "op4_hypergeometric_shards": _over("documents", sharding.op4_hypergeometric_shards),
+    "op5_hierarchical_quality": lambda spark, sf_dir: quality.op5_hierarchical_quality(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ),
+    "op6_hyperdimensional_language": _over("documents", language.op6_hyperdimensional_language),
     "op9_golden_mix": _over("documents", mixing.op9_golden_mix),
 }
 
