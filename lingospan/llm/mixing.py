@@ -7,7 +7,7 @@ source hold equally many tokens, so at every length of the mix each source has c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingospan.llm.common import WORD, cut, running_start
@@ -204,6 +204,16 @@ def op9_golden_mix(docs: DataFrame) -> DataFrame:
     return mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
-def repeats(taken: Column, size: Column) -> Column:
-    """How often a document whose ``taken`` words are in the mix is written out: at least once if any word is."""
-    return F.when(size > 0, F.ceil(taken / size)).otherwise(0).cast("int")
+def mixed_documents(docs: DataFrame, block_tokens: int = 2048, cap: int = 3) -> DataFrame:
+    """``docs`` as the mix has them: a document as often as its words are taken, rounded to whole times.
+
+    Documents of sources above their target may be left out, others come up to ``cap`` times. All columns stay.
+    """
+    taken = mix(docs, block_tokens, cap)[0].groupBy(F.col("doc_id").alias("_id")).agg(F.try_divide(F.sum("taken"), F.sum("size")))
+    times = F.when(F.col("_share") > 0, F.floor(F.col("_share") + 0.5)).otherwise(0).cast("int")
+    shares = taken.toDF("_id", "_share").select("_id", times.alias("_times")).filter("_times > 0")
+    return (
+        docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_id")))
+        .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .drop("_id", "_times")
+    )
