@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingospan.llm import decontamination, fingerprints, language, mixing, near_duplicates, pages, quality, sharding
+from lingospan.llm import decontamination, fingerprints, language, mixing, near_duplicates, pages, personal, quality, sharding
 from lingospan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     ),
     "op9_golden_mix": _over("documents", mixing.op9_golden_mix),
+    "op10_boosted_personal_data": _over("documents", personal.op10_boosted_personal_data),
 }
 
 ORACLES: dict[str, str] = {}
