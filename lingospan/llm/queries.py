@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingospan.llm import decontamination, fingerprints, language, mixing, near_duplicates, pages, personal, quality, sharding
+from lingospan.llm import decontamination, fingerprints, language, mixing, near_duplicates, pages, personal, quality, repeats, sharding
 from lingospan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ),
     "op6_hyperdimensional_language": _over("documents", language.op6_hyperdimensional_language),
+    "op7_prefix_free_repeats": _over("documents", repeats.op7_prefix_free_repeats),
     "op8_simhash_decontamination": lambda spark, sf_dir: decontamination.op8_simhash_decontamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     ),
