@@ -14,6 +14,7 @@ WHITESPACE = (
 # A word is a run of anything but white space; a token is a run of letters, marks and
 # digits, or one other visible character.
 WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
+WORD_PART_PATTERN = r"(?U)[\p{L}\p{M}\p{N}]"
 TOKEN_PATTERN = r"(?U)[\p{L}\p{M}\p{N}]+|[^\s\x1c-\x1f]"
 
 
@@ -53,6 +54,10 @@ def first_tokens(c: Column | str, n: int) -> Column:
     return tokens(F.regexp_extract(text_or_empty(c), rf"(?U)^(?:{one}){{0,{n}}}+", 0))
 
 
+# Encoders that need only the first tokens ask for them this way.
+tokens.first = first_tokens
+
+
 def word_count(c: Column | str) -> Column:
     return F.size(words(c)).cast("bigint")
 

@@ -5,10 +5,12 @@ Layout: ``<s> A </s> </s> B </s>`` for a pair and ``<s> A </s>`` for one text, p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,7 @@ from pyspark.sql.window import Window
 from lingospan.config import PAIR_MAX_LENGTH
 from lingospan.functions import text
 from lingospan.functions.multilingual import language_text
+from lingospan.functions.worker import kept
 
 # Special tokens, in id order.
 SPECIAL_TOKENS = ["<s>", "<pad>", "</s>", "<unk>"]
@@ -32,14 +35,16 @@ def count_words(df: DataFrame, columns: Sequence[str], tokenizer: Tokenizer = te
 
 
 def fit_vocabulary(
-    df: DataFrame, columns: Sequence[str], size: int, tokenizer: Tokenizer = text.tokens
+    df: DataFrame, columns: Sequence[str], size: int | None, tokenizer: Tokenizer = text.tokens
 ) -> DataFrame:
-    """The ``size`` most frequent words as (token_id, word, n); ties go to the smaller word.
+    """The ``size`` most frequent words as (token_id, word, n); ties go to the smaller word. None: all words.
 
     The count at which the vocabulary ends is found first from the counts of counts, so only words at or
     above it reach the final sort, not the long tail of rare words.
     """
     counts = count_words(df, columns, tokenizer)
+    if size is None:
+        return _all_words(counts)
     # One row per distinct count: about the square root of the number of tokens at most.
     per_count = counts.groupBy("n").agg(F.count("*").alias("words"))
     more_frequent = F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")
@@ -51,25 +56,50 @@ def fit_vocabulary(
     return top.select((place + len(SPECIAL_TOKENS) - 1).cast("int").alias("token_id"), "word", "n")
 
 
+def _all_words(counts: DataFrame) -> DataFrame:
+    """Every word with its id. Words are ranked within their count, and within the first bytes of the word, and
+    each part starts where the parts before it end; so no task sorts all words."""
+    part = F.substring(F.col("word").cast("binary"), 1, 3)
+    parted = counts.withColumn("_part", F.hex(part))
+    sizes = parted.groupBy("n", "_part").agg(F.count("*").alias("_words"))
+    # A row for each count and beginning of a word: far fewer than words.
+    before = Window.orderBy(F.desc("n"), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("n", "_part", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("n", "_part").orderBy("word"))
+    numbered = parted.join(starts, ["n", "_part"])
+    return numbered.select(
+        (F.col("_start") + place + len(SPECIAL_TOKENS) - 1).cast("int").alias("token_id"), "word", "n"
+    )
+
+
+# Bytes of words, with eight more for each, that a vocabulary on the driver and in every worker may take.
+MAX_BYTES = 256 << 20
+
+
 class Vocabulary:
     """A fitted vocabulary, sent to the executors once.
 
-    Only its words pass through the driver, and their number is the ``size`` it was fitted with.
+    Only its words pass through the driver, and no more than ``MAX_BYTES`` of them.
     """
 
     def __init__(self, spark: SparkSession, words: Sequence[str]):
         self.spark = spark
         self.words = list(words)
+        self._key = uuid.uuid4().hex
         self._shared = spark.sparkContext.broadcast(pa.array(self.words, pa.string()))
 
     @classmethod
     def from_frame(cls, frame: DataFrame) -> Vocabulary:
+        """Raises before anything is collected or broadcast if the words take more than ``MAX_BYTES``."""
+        bytes_ = frame.agg(F.coalesce(F.sum(F.octet_length("word") + 8), F.lit(0))).first()[0]
+        if bytes_ > MAX_BYTES:
+            raise ValueError(f"a vocabulary of {bytes_:,} bytes is too large to hold; the limit is {MAX_BYTES:,}")
         rows = frame.select("token_id", "word").orderBy("token_id").toArrow()
         return cls(frame.sparkSession, rows.column("word").to_pylist())
 
     @classmethod
     def fit(
-        cls, df: DataFrame, columns: Sequence[str], size: int, tokenizer: Tokenizer = text.tokens
+        cls, df: DataFrame, columns: Sequence[str], size: int | None, tokenizer: Tokenizer = text.tokens
     ) -> Vocabulary:
         return cls.from_frame(fit_vocabulary(df, columns, size, tokenizer))
 
@@ -91,13 +121,15 @@ class Vocabulary:
 
     def ids_of(self, tokens: Column) -> Column:
         """Ids of an ARRAY<STRING>; unknown words give ``<unk>``. One hash lookup per Arrow batch."""
-        shared, first, unknown = self._shared, len(SPECIAL_TOKENS), UNK
+        shared, first, unknown, key = self._shared, len(SPECIAL_TOKENS), UNK, self._key
 
         @F.arrow_udf("array<int>")
         def lookup(batch: pa.Array) -> pa.Array:
-            found = pc.index_in(batch.flatten(), value_set=shared.value)
-            ids = pc.fill_null(pc.add(found, pa.scalar(first, pa.int32())), unknown)
-            return pa.ListArray.from_arrays(_offsets(batch), ids.cast(pa.int32()))
+            # Python is asked for distinct words only.
+            words = pc.dictionary_encode(batch.flatten())
+            index = _index_of(shared, key)
+            known = [unknown if (at := index.get(w)) is None else at + first for w in words.dictionary.to_pylist()]
+            return pa.ListArray.from_arrays(_offsets(batch), pa.array(known, pa.int32()).take(words.indices))
 
         return lookup(tokens)
 
@@ -115,6 +147,11 @@ class Vocabulary:
         return lookup(ids)
 
 
+def _index_of(shared: Broadcast, key: str) -> dict[str, int]:
+    """Places of the words of a broadcast vocabulary, made once in a Python worker."""
+    return kept("vocabulary", key, lambda: {w: i for i, w in enumerate(shared.value.to_pylist())})
+
+
 def _offsets(lists: pa.Array) -> pa.Array:
     """Start offsets of the flattened lists; a null list counts as empty."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0)
@@ -132,15 +169,13 @@ def _ids(*values: int) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-# Up to this many tokens, finding where they end costs less than splitting the whole text.
-EARLY_STOP = 512
-
-
 def _kept_tokens(c: Column, budget: int, tokenizer: Tokenizer) -> Column:
-    """The tokens that can survive truncation; no others are split off or sent to Python."""
-    if tokenizer is text.tokens and budget <= EARLY_STOP:
-        return text.first_tokens(c, budget)
-    return F.slice(tokenizer(c), 1, budget)
+    """The tokens that can survive truncation; no others are sent to Python.
+
+    A tokenizer may have a function ``first(column, n)`` that reads a text no further than its n-th token.
+    """
+    first = getattr(tokenizer, "first", None)
+    return first(c, budget) if first else F.slice(tokenizer(c), 1, budget)
 
 
 def encode(
@@ -208,8 +243,8 @@ def encode_paraphrase(df: DataFrame, vocabulary: Vocabulary, **options) -> DataF
 
 
 def decode_ids(
-    df: DataFrame, vocabulary: Vocabulary, column: str = "input_ids", first: int | None = 20, out: str = "tokens"
+    df: DataFrame, vocabulary: Vocabulary, column: str = "input_ids", first: int | None = None, out: str = "tokens"
 ) -> DataFrame:
-    """Add the tokens of an id array, the ``first`` ones or all."""
+    """Add the tokens of an id array: all, or the ``first`` ones for a preview."""
     ids = F.col(column) if first is None else F.slice(column, 1, first)
     return df.withColumn(out, vocabulary.words_of(ids))

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lingospan.config import ERRORS_PER_LANGUAGE
+from lingospan.config import ERRORS_PER_LANGUAGE, work_folder
 from lingospan.functions import text
 from lingospan.functions.labels import decode_label
-from lingospan.operators.ordering import first_n_per_group
+from lingospan.operators.ordering import first_n_per_group, join_same
 from lingospan.operators.pairs import nonempty_pairs
 from lingospan.operators.profiling import count_tokens_and_words
 from lingospan.schemas import ERROR_CATEGORIES, NLI_LABELS, literal_frame
@@ -84,12 +84,15 @@ def rows_checked(
 ) -> DataFrame:
     """How many non-empty rows are visited per language until its ``max_errors``-th error (all, if fewer).
 
-    The id of that error is found first from the pruned first-N rows, then rows up to it are counted: no
-    running sum over a whole language.
+    Rows are scored once: their ids, and whether they are wrong, are stored. The id of the last error is then
+    found from the first-N rows, and rows up to it are counted: no running sum over a whole language.
     """
     limit = max(max_errors, 1)
     rows = nonempty_pairs(scored).where(F.col(lang).isin(list(languages)))
     rows = rows.select(order, lang, (F.col("predicted_label") != F.col("gold_label")).alias("wrong"))
+    path = work_folder(scored.sparkSession, "checked")
+    rows.write.parquet(path)
+    rows = scored.sparkSession.read.schema(rows.schema).parquet(path)
     last = (
         first_n_per_group(rows.where("wrong"), [lang], order, limit, "rank")
         .where(F.col("rank") == limit)
@@ -106,6 +109,20 @@ def _grouped(errors: DataFrame, key: str, *extra: Column) -> DataFrame:
     return errors.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count"), *extra)
 
 
+def ranked(counts: DataFrame, *by: str | Column) -> DataFrame:
+    """Add ``rank`` (1, 2, ...) in the given order, and order the rows by it.
+
+    For tables of one row per language or category: the window spans all of them.
+    """
+    place = F.row_number().over(Window.orderBy(*by)).cast("bigint")
+    return counts.withColumn("rank", place).orderBy("rank")
+
+
+def total_errors(errors: DataFrame) -> DataFrame:
+    """The number of errors, in one row."""
+    return errors.agg(F.count("*").alias("errors"))
+
+
 def errors_by_language(errors: DataFrame) -> DataFrame:
     return _grouped(errors, "language_name", F.avg("confidence").alias("avg_confidence"))
 
@@ -122,7 +139,7 @@ SUMMARY_KEYS = ("language_name", "family", "script", "morphology", "word_order")
 
 
 def error_summary(errors: DataFrame, keys: Sequence[str] = SUMMARY_KEYS) -> DataFrame:
-    """Count and mean confidence by each of the attributes, from one scan.
+    """Count and mean confidence by each of the attributes and over all errors (``total``), from one scan.
 
     Rows are first reduced to one per combination of attributes; the grouping sets then expand only
     those, not the errors themselves.
@@ -131,13 +148,13 @@ def error_summary(errors: DataFrame, keys: Sequence[str] = SUMMARY_KEYS) -> Data
     base = errors.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.sum("confidence").alias("_sum"), F.count("confidence").alias("_m")
     )
-    sets = base.groupingSets([[k] for k in keys], *keys).agg(
+    sets = base.groupingSets([[], *[[k] for k in keys]], *keys).agg(
         F.sum("_n").alias("count"),
         F.sum("_sum").alias("_sum"),
         F.sum("_m").alias("_m"),
         *[F.grouping(k).alias(f"_{k}") for k in keys],
     )
-    dimension, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    dimension, value = F.lit("total"), F.lit("all")
     for k in keys:
         dimension = F.when(F.col(f"_{k}") == 0, k).otherwise(dimension)
         value = F.when(F.col(f"_{k}") == 0, F.col(k)).otherwise(value)
@@ -177,15 +194,23 @@ def category_distribution(annotated: DataFrame, categories: DataFrame) -> DataFr
     )
 
 
+OTHER_CATEGORY = "other"
+
+
 def category_crosstab(
     annotated: DataFrame, key: str, categories: Sequence[str] | None = None
 ) -> DataFrame:
     """Count of each category per ``key``, zeros filled in; unannotated rows and NULL keys are left out.
 
-    Without ``categories`` Spark finds the codes in use with one extra small job.
+    Codes outside ``categories`` are counted in the column ``other``. Without ``categories`` Spark finds the
+    codes in use with one extra small job.
     """
     rows = annotated.where(F.col("error_category").isNotNull() & F.col(key).isNotNull())
-    pivoted = rows.groupBy(key).pivot("error_category", None if categories is None else list(categories))
+    if categories is None:
+        return rows.groupBy(key).pivot("error_category").agg(F.count(F.lit(1))).na.fill(0)
+    listed = F.when(F.col("error_category").isin(list(categories)), F.col("error_category"))
+    rows = rows.withColumn("_category", F.coalesce(listed, F.lit(OTHER_CATEGORY)))
+    pivoted = rows.groupBy(key).pivot("_category", [*categories, OTHER_CATEGORY])
     return pivoted.agg(F.count(F.lit(1))).na.fill(0)
 
 
@@ -219,14 +244,14 @@ def _is_han(word: str) -> bool:
 
 
 def suggest_category(
-    errors: DataFrame, languages: Sequence[str], entailment: str = NLI_LABELS[0], negations: Sequence[str] = NEGATION_WORDS
-) -> DataFrame:
+    errors: DataFrame, entailment: str = NLI_LABELS[0], negations: Sequence[str] = NEGATION_WORDS
+) -> DataFrame:
     """Add ``suggested_category``, a first guess from the category definitions; the first that fits wins.
 
     E1: half of the distinct hypothesis words are in the premise and entailment was predicted. E2: exactly
     one side is negated. E3: more tokens per word than the mean of the language. E4: high morphology. E5:
-    word order other than SVO. ``error_category`` stays for people to fill in. ``languages`` bounds the
-    per-language means that are joined back; other languages are compared with no mean.
+    word order other than SVO. ``error_category`` stays for people to fill in. Every language has its mean,
+    a NULL language too.
     """
     both = errors.withColumn("_text", F.concat_ws(" ", F.col("premise"), F.col("hypothesis")))
     counted = both.withColumn("_c", count_tokens_and_words(both, "_text"))
@@ -240,13 +265,8 @@ def suggest_category(
         F.size(F.array_intersect(mentioned, text.tokens("premise"))).cast("double"), F.size(mentioned).cast("double")
     )
     overlapping = F.when(F.col("predicted_label") == entailment, overlap >= 0.5)
-    # At most one row per listed language.
-    means = (
-        measured.where(F.col("language").isin(list(languages)))
-        .groupBy("language")
-        .agg(F.avg("_ratio").alias("_mean"))
-    )
-    joined = measured.join(F.broadcast(means), "language", "left")
+    means = measured.groupBy("language").agg(F.avg("_ratio").alias("_mean"))
+    joined = join_same(measured, means, ["language"], "left")
     return joined.withColumn(
         "suggested_category",
         F.when(overlapping, "E1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,20 +150,30 @@ def macro_prf(df: DataFrame, num_classes: int = 3, lang: str = "lang") -> DataFr
 def compare_models(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = ("example_id", "lang"), lang: str = "lang"
 ) -> DataFrame:
-    """Two models on the same examples, per language: agreement, who is right where, accuracy difference."""
+    """Two models on the same examples, per language: agreement, who is right where, accuracy difference.
+
+    ``n`` counts the examples that either has. An example without a prediction, because it failed or because a
+    model never saw it, is one that this model has not got right: ``missing_a`` and ``missing_b`` count them.
+    """
     keys = list(keys)
-    right_a = a.select(*keys, "gold_label", F.col("predicted_label").alias("_a"))
-    right_b = b.select(*keys, F.col("predicted_label").alias("_b"))
-    hit_a, hit_b = F.col("_a") == F.col("gold_label"), F.col("_b") == F.col("gold_label")
+    right_a = a.select(*keys, F.col("gold_label").alias("_gold_a"), F.col("predicted_label").alias("_a"))
+    right_b = b.select(
+        *[F.col(k).alias(f"_b_{k}") for k in keys], F.col("gold_label").alias("_gold_b"), F.col("predicted_label").alias("_b")
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys])
+    both = right_a.join(right_b, same, "full").withColumn("_gold", F.coalesce("_gold_a", "_gold_b"))
+    both = both.withColumns({k: F.coalesce(k, f"_b_{k}") for k in keys})
+    hit_a, hit_b = (F.coalesce(F.col(c) == F.col("_gold"), F.lit(False)) for c in ("_a", "_b"))
     return (
-        right_a.join(right_b, keys)
-        .groupBy(lang)
+        both.groupBy(lang)
         .agg(
             F.count("*").alias("n"),
             F.count_if(F.col("_a") == F.col("_b")).alias("agree"),
             F.count_if(hit_a & hit_b).alias("both_right"),
             F.count_if(hit_a & ~hit_b).alias("only_a"),
             F.count_if(~hit_a & hit_b).alias("only_b"),
+            F.count_if(F.col("_a").isNull()).alias("missing_a"),
+            F.count_if(F.col("_b").isNull()).alias("missing_b"),
         )
         .withColumns(
             {

@@ -8,19 +8,41 @@ rank in its bucket plus the sizes of the buckets before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-MAX_BUCKETS = 1 << 16
+# Parts into which a group is cut before its first rows are sought.
+SPREAD = 64
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """A power of two, four to eight times the shuffle partitions and at most 65,536."""
+    """A power of two, four to eight times the shuffle partitions: as many as the cluster is set up for."""
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, 1 << max(6, wanted.bit_length()))
+    return 1 << max(6, wanted.bit_length())
+
+
+def required_id(df: DataFrame, order: str) -> Column:
+    """The id column that rows are ordered by: an integer, and a NULL in it fails the job."""
+    kind = df.schema[order].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{order}: rows are ordered by an integer id, got {kind.simpleString()}")
+    missing = F.raise_error(F.lit(f"{order} has a NULL: rows cannot be ordered")).cast(kind)
+    return F.coalesce(F.col(order), missing)
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys appear once."""
+    if not keys:
+        raise ValueError("no keys to join on")
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_same_{k}" for k in keys])
 
 
 def shuffle_key(order: str, seed: int = 0, epoch: int = 0) -> Column:
@@ -37,7 +59,7 @@ def _with_range_bucket(df: DataFrame, order: str, buckets: int) -> DataFrame:
     """Bucket by quantiles of ``order``: even sizes also when ids are sparse or clustered."""
     values = df.select(F.col(order).cast("double").alias("_order"))
     shares = [i / buckets for i in range(1, buckets)]
-    # At most MAX_BUCKETS numbers; the buckets are cut by exact comparison, whatever the estimate.
+    # One number per bucket; the buckets are cut by exact comparison, whatever the estimate.
     cuts = sorted(set(values.stat.approxQuantile("_order", shares, 0.5 / buckets))) or [0.0]
     cutter = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_bucket", handleInvalid="keep"
@@ -67,9 +89,12 @@ def number_rows(
 ) -> DataFrame:
     """Row number 0, 1, 2, ... within ``keys`` (over all rows by default), in id or seeded random order.
 
-    ``order`` must be a unique id. The input is read more than once, so pass a stored table.
+    ``order`` must be a unique integer id; a NULL in it fails the job. Rows with a NULL key are a group like
+    any other. The input is read more than once, so pass a stored table.
     """
     keys = list(keys)
+    columns = df.columns
+    df = df.withColumn(order, required_id(df, order))
     buckets = buckets or default_buckets(df.sparkSession)
     if shuffle:
         rows, sort = _with_hash_bucket(df, shuffle_key(order, seed, epoch), buckets), ["_key", order]
@@ -79,13 +104,13 @@ def number_rows(
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     if not keys:
-        # At most MAX_BUCKETS rows of two numbers.
+        # One row of two numbers per bucket.
         starts = F.broadcast(starts)
     place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*sort))
     return (
-        rows.join(starts, [*keys, "_bucket"])
+        join_same(rows, starts, [*keys, "_bucket"])
         .withColumn(out, (F.col("_start") + place - 1).cast("bigint"))
-        .select(*df.columns, out)
+        .select(*columns, out)
     )
 
 
@@ -98,15 +123,19 @@ def first_n_per_group(
 ) -> DataFrame:
     """The first ``n`` rows of each group by ``order``, numbered from 1.
 
-    Up to the limit below which Spark prunes ranks before the shuffle, each task passes on at most ``n``
-    rows per group. A larger ``n`` goes through the distributed row numbers.
+    ``order`` is a unique integer id; a NULL in it fails the job, a NULL key is a group. Only keys and ids are
+    ranked, for every ``n`` in the same way: each group is cut into ``SPREAD`` parts by a hash of the id, the
+    first ``n`` of every part are ranked again, and the winners fetch their rows. The input is read twice, the
+    first time for keys and ids alone, so pass a stored table.
     """
-    spark = df.sparkSession
-    if n < int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-        return df.withColumn(out, place).where(F.col(out) <= n)
-    numbered = number_rows(df, order, keys, out)
-    return numbered.withColumn(out, F.col(out) + 1).where(F.col(out) <= n)
+    keys = list(keys)
+    ids = df.select(*keys, required_id(df, order).alias(order))
+    spread = ids.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(SPREAD)))
+    in_part = Window.partitionBy(*keys, "_part").orderBy(order)
+    leading = spread.withColumn("_place", F.row_number().over(in_part)).where(F.col("_place") <= n)
+    in_group = Window.partitionBy(*keys).orderBy(order)
+    winners = leading.select(*keys, order, F.row_number().over(in_group).alias(out)).where(F.col(out) <= n)
+    return join_same(df, winners, [*keys, order]).select(*df.columns, out)
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -100,13 +99,13 @@ def char_counts(
         .groupBy("grp", "code_point")
         .agg(F.sum("n").alias("n"))
     )
-    ch = _character("code_point")
-    return counted.select(F.col("grp").alias(group), ch.alias("ch"), "n").where(F.rlike("ch", F.lit(r"^\p{L}$")))
+    return counted.select(F.col("grp").alias(group), _letter("code_point").alias("ch"), "n").where("ch IS NOT NULL")
 
 
 @F.pandas_udf(T.StringType())
-def _character(code_points: pd.Series) -> pd.Series:
-    return code_points.map(chr)
+def _letter(code_points: pd.Series) -> pd.Series:
+    """The character, or NULL if it is no letter. Python decides, whose Unicode tables also name its script."""
+    return code_points.map(lambda point: chr(point) if chr(point).isalpha() else None)
 
 
 @F.pandas_udf(T.StringType())
@@ -130,17 +129,28 @@ def top_scripts(histogram: DataFrame, k: int = 3, group: str = "lang") -> DataFr
 SPACE, WORD_PART, OTHER = range(3)
 
 
-@cache
-def _character_kinds() -> np.ndarray:
-    """Whether each code point separates words, is part of a run of letters, marks and digits, or stands alone."""
-    kinds = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
-    for point in range(sys.maxunicode + 1):
-        ch = chr(point)
-        if ch.isspace():
-            kinds[point] = SPACE
-        elif unicodedata.category(ch)[0] in "LMN":
-            kinds[point] = WORD_PART
-    return kinds
+_KINDS: list[np.ndarray] = []
+
+
+def _character_kinds(spark: SparkSession) -> np.ndarray:
+    """Whether each code point separates words, is part of a run of letters, marks and digits, or stands alone.
+
+    The patterns that list tokens and words decide, once per driver: one small job over all code points.
+    """
+    if not _KINDS:
+        surrogate = F.col("id").between(0xD800, 0xDFFF)
+        ch = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        kind = (
+            F.when(surrogate, OTHER)
+            .when(~F.rlike(ch, F.lit(text.WORD_PATTERN)), SPACE)
+            .when(F.rlike(ch, F.lit(text.WORD_PART_PATTERN)), WORD_PART)
+            .otherwise(OTHER)
+        )
+        rows = spark.range(sys.maxunicode + 1).select("id", kind.cast("byte").alias("kind")).toArrow()
+        kinds = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+        kinds[rows.column("id").to_numpy()] = rows.column("kind").to_numpy()
+        _KINDS.append(kinds)
+    return _KINDS[0]
 
 
 def _count_block(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +178,7 @@ def count_tokens_and_words(df: DataFrame, column: str) -> Column:
     Counts what ``text.tokens`` and ``text.words`` list, without listing it: several times faster than a
     regular expression.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_character_kinds())
+    shared = df.sparkSession.sparkContext.broadcast(_character_kinds(df.sparkSession))
 
     @F.arrow_udf("tokens bigint, words bigint")
     def count(batch: pa.Array) -> pa.Array:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from lingospan.config import BATCH_SIZE
 from lingospan.functions import vectors
 from lingospan.functions.labels import decode_label
+from lingospan.functions.worker import kept
 from lingospan.operators.pairs import validate_pairs
 from lingospan.schemas import NLI_LABELS
 
@@ -69,7 +71,7 @@ def score_callable(
     batch_size: int = BATCH_SIZE,
     timed: bool = False,
 ) -> DataFrame:
-    """Score with a user's model: loaded once per task, called on ``batch_size`` texts at a time.
+    """Score with a user's model: loaded once per Python worker, called on ``batch_size`` texts at a time.
 
     Rows whose status is not ``ok`` are not sent to the model. A batch on which the model raises gets the
     status ``error`` and the message in ``error``; the job goes on. ``timed`` adds ``latency_ms``, the
@@ -80,9 +82,10 @@ def score_callable(
     extra = "logits ARRAY<DOUBLE>, error STRING" + (", latency_ms DOUBLE" if timed else "")
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(extra).fields])
     num_classes = len(names)
+    key = uuid.uuid4().hex
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loader()
+        model = kept("model", key, loader)
         for pdf in batches:
             logits = np.empty(len(pdf), dtype=object)
             errors = np.full(len(pdf), None, dtype=object)

@@ -14,7 +14,6 @@ from lingospan.operators.errors import misclassified, with_language_attributes
 from lingospan.operators.pairs import nonempty_pairs
 from lingospan.operators.scoring import score_logits
 from lingospan.schemas import language_dim
-from lingospan.sources.readers import read_spread
 
 LOGITS_A = ["l0", "l1", "l2"]
 LOGITS_B = ["m0", "m1", "m2"]
@@ -35,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the cores for work on their text."""
-    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", TABLES["documents"])
+    return table(spark, sf_dir, "documents")
 
 
 def _premise() -> Column:
@@ -61,13 +59,12 @@ def logits_of(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def nli_logits(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    texts = documents(spark, sf_dir) if spread else table(spark, sf_dir, "documents")
-    return logits_of(table(spark, sf_dir, "embeddings"), texts)
+def nli_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logits_of(table(spark, sf_dir, "embeddings"), documents(spark, sf_dir))
 
 
-def nli_predictions(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    return score_logits(nli_logits(spark, sf_dir, spread), LOGITS_A)
+def nli_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_logits(nli_logits(spark, sf_dir), LOGITS_A)
 
 
 def pairs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +144,9 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_log(spark, sf_dir).groupBy("epoch").agg(F.avg(hit).alias("val_accuracy"))
 
 
-def errors(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All misclassified non-empty pairs with the attributes of their language."""
-    wrong = misclassified(nonempty_pairs(nli_predictions(spark, sf_dir, spread)))
+    wrong = misclassified(nonempty_pairs(nli_predictions(spark, sf_dir)))
     return with_language_attributes(wrong.withColumnRenamed("lang", "language"), language_dim(spark))
 
 

@@ -189,7 +189,7 @@ def _crosstab(key: str) -> str:
         f"count(*) FILTER (WHERE error_category = '{c}') AS \"{c}\"" for c in ("E1", "E2", "E3", "E4", "E5", "E9")
     )
     return _with_views(
-        f"SELECT {key}, {counts} FROM annotated WHERE error_category IS NOT NULL AND {key} IS NOT NULL GROUP BY {key}"
+        f"SELECT {key}, {counts}, 0 AS other FROM annotated WHERE error_category IS NOT NULL AND {key} IS NOT NULL GROUP BY {key}"
     )
 
 
@@ -304,7 +304,7 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (WHERE a <> g AND b = g) AS only_b,
           round(count(*) FILTER (WHERE a = b) / CAST(count(*) AS DOUBLE), 6) AS agreement,
           round((count(*) FILTER (WHERE b = g) - count(*) FILTER (WHERE a = g)) / CAST(count(*) AS DOUBLE), 6)
-            AS accuracy_delta
+            AS accuracy_delta, 0 AS missing_a, 0 AS missing_b
         FROM (SELECT lang, gold_label AS g,
                 CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS a,
                 CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS b FROM logits) t
@@ -339,7 +339,7 @@ ORACLES: dict[str, str] = {
         WHERE gap IS NOT NULL"""),
     "error_records": _with_views(f"SELECT {FLAT_RECORD} FROM errors WHERE id <= 15"),
     "union_language_errors": _with_views("""SELECT id, language, gold_name AS gold_label, predicted_name AS predicted_label,
-          round(confidence, 6) AS confidence FROM errors WHERE id <= 5"""),
+          round(confidence, 6) AS confidence FROM errors WHERE id <= 15"""),
     "rows_checked": _with_views("""SELECT lang, count(*) AS checked, CAST(sum(wrong) AS BIGINT) AS errors
         FROM (SELECT lang, wrong, sum(wrong) OVER (PARTITION BY lang ORDER BY example_id) AS run
               FROM (SELECT lang, example_id, CASE WHEN predicted_label <> gold_label THEN 1 ELSE 0 END AS wrong
@@ -355,7 +355,8 @@ ORACLES: dict[str, str] = {
               UNION ALL SELECT 'family', family, confidence FROM errors
               UNION ALL SELECT 'script', script, confidence FROM errors
               UNION ALL SELECT 'morphology', morphology, confidence FROM errors
-              UNION ALL SELECT 'word_order', word_order, confidence FROM errors) t
+              UNION ALL SELECT 'word_order', word_order, confidence FROM errors
+              UNION ALL SELECT 'total', 'all', confidence FROM errors) t
         WHERE value IS NOT NULL GROUP BY ALL"""),
     "error_confusion": _with_views("""SELECT gold_name AS gold_label,
           count(*) FILTER (WHERE predicted_name = 'entailment') AS entailment,
@@ -403,8 +404,9 @@ ORACLES: dict[str, str] = {
               AND 1 PRECEDING), 0e0)) AS best FROM epochs) t"""),
     "assign_batches": """SELECT doc_id AS example_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index,
         (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM documents""",
-    "assign_batches_shuffled": """SELECT batch_id, count(*) AS n FROM (
-        SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM documents) t GROUP BY 1""",
+    "assign_batches_shuffled": """SELECT batch_id, count(*) AS n, min(row) AS first_row,
+          (SELECT count(DISTINCT doc_id) FROM documents) AS ids, (SELECT CAST(sum(doc_id) AS BIGINT) FROM documents) AS id_sum
+        FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, row // 16 AS batch_id FROM documents) t GROUP BY 1""",
     "number_rows_by_language": """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_index
         FROM documents""",
     "fit_vocab": rf"""SELECT * FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, word) + 3 AS token_id, word,
@@ -413,7 +415,7 @@ ORACLES: dict[str, str] = {
     "encode_pairs": _encoding(PAIR_SOURCE, "example_id", 128, "max_length"),
     "encode_nopad": _encoding(PAIR_SOURCE, "example_id", 128, "none"),
     "encode_longest": _encoding(
-        PAIR_SOURCE, "example_id", 64, "longest", "(row_number() OVER (ORDER BY example_id) - 1) // 16"
+        PAIR_SOURCE, "example_id", 128, "longest", "(row_number() OVER (ORDER BY example_id) - 1) // 16"
     ),
     "encode_longest_all": _encoding(PAIR_SOURCE, "example_id", 4096, "longest"),
     "encode_paraphrase": _encoding(PARAPHRASE_SOURCE, "id", 128, "max_length"),
@@ -439,10 +441,63 @@ ORACLES: dict[str, str] = {
           round(avg(CASE WHEN predicted_label = gold_label THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM preds GROUP BY lang"""),
 }
 
+ORACLES |= {
+    "error_total": _with_views("SELECT count(*) AS errors FROM errors"),
+    "category_ranked": _with_views("""SELECT code, count, row_number() OVER (ORDER BY count DESC, code) AS rank
+        FROM (SELECT error_category AS code, count(*) AS count FROM annotated WHERE error_category IS NOT NULL GROUP BY 1) t"""),
+    "errors_by_language_ranked": _with_views("""SELECT language_name, count, row_number() OVER (ORDER BY language_name) AS rank
+        FROM (SELECT language_name, count(*) AS count FROM errors WHERE language_name IS NOT NULL GROUP BY 1) t"""),
+    "category_unlisted": _with_views("""SELECT language, count(*) FILTER (WHERE error_category = 'E1') AS "E1",
+          count(*) FILTER (WHERE error_category = 'E2') AS "E2",
+          count(*) FILTER (WHERE error_category NOT IN ('E1', 'E2')) AS other
+        FROM annotated WHERE error_category IS NOT NULL GROUP BY language"""),
+    "char_scripts_shifted": """SELECT lang, ch, count(*) AS n FROM (
+          SELECT lang, unnest(string_split(translate(text, 'abcdefghijklmnopqrstuvwxyz', s), '')) AS ch, s FROM documents,
+            (SELECT 'абвгдежзийклмαβγδεζηθ猫犬鳥' || chr(201552) || chr(191472) AS s) o) t
+        WHERE contains(s, ch) AND ch <> '' GROUP BY 1, 2""",
+    "number_rows_null_key": """SELECT doc_id, k AS lang, row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS row_index
+        FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang END AS k FROM documents) t""",
+    "first_n_large": """SELECT doc_id, k AS lang, rank, md5(text) AS text FROM (
+          SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS rank
+          FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 > 0 THEN lang END AS k FROM documents) t) r WHERE rank <= 5000""",
+    "fit_vocab_all": r"""SELECT row_number() OVER (ORDER BY count(*) DESC, word) + 3 AS token_id, word, count(*) AS n
+        FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s]')) AS word FROM documents) t GROUP BY word""",
+    "encode_tokens_256": _encoding(PAIR_SOURCE, "example_id", 256, "max_length"),
+    "encode_single": _with_views(r"""SELECT doc_id AS example_id, CAST(128 AS BIGINT) AS n_ids, CAST(n + 2 AS BIGINT) AS n_real,
+          concat_ws(' ', '0', ids, '2') || repeat(' 1', CAST(126 - n AS BIGINT)) AS input_ids, CAST(0 AS BIGINT) AS labels
+        FROM (SELECT doc_id, count(w) AS n, string_agg(CAST(coalesce(v.token_id, 3) AS VARCHAR), ' ' ORDER BY pos) AS ids
+              FROM (SELECT doc_id, unnest(t[1:126]) AS w, unnest(range(1, len(t[1:126]) + 1)) AS pos
+                    FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s]') AS t FROM documents) a) b
+              LEFT JOIN vocab v ON v.word = b.w GROUP BY doc_id) c"""),
+    "predict_single": """SELECT doc_id AS example_id, 'ok' AS status,
+          CASE WHEN a >= b AND a >= c THEN 'entailment' WHEN b >= c THEN 'neutral' ELSE 'contradiction' END AS predicted_name,
+          round(1 / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))), 6) AS confidence
+        FROM (SELECT doc_id, (length(text) % 7) / 2e0 AS a, (length(text) % 5) / 2e0 AS b, (length(text) % 3) / 2e0 AS c
+              FROM documents) t""",
+    "compare_models_failed": _with_views("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE a = b) AS agree,
+          count(*) FILTER (WHERE a = g AND b IS NOT DISTINCT FROM g) AS both_right,
+          count(*) FILTER (WHERE a = g AND b IS DISTINCT FROM g) AS only_a, count(*) FILTER (WHERE a <> g AND b = g) AS only_b,
+          0 AS missing_a, count(*) FILTER (WHERE b IS NULL) AS missing_b,
+          round(count(*) FILTER (WHERE a = b) / CAST(count(*) AS DOUBLE), 6) AS agreement,
+          round((count(*) FILTER (WHERE b = g) - count(*) FILTER (WHERE a = g)) / CAST(count(*) AS DOUBLE), 6) AS accuracy_delta
+        FROM (SELECT lang, gold_label AS g,
+                CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS a,
+                CASE WHEN example_id % 7 = 0 OR example_id % 5 = 0 THEN NULL
+                     WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS b FROM logits) t GROUP BY lang"""),
+    "model_roundtrip": _with_views("""SELECT lang, count(*) AS n, count(*) AS same FROM pairs_long
+        WHERE split = 'validation' GROUP BY lang"""),
+    "score_latency": _with_views("SELECT lang, count(*) AS n, true AS positive, true AS ordered FROM pairs_long GROUP BY lang"),
+    "zero_shot_transfer": _with_views("""SELECT lang, count(*) AS n, true AS counted, true AS divided, true AS compared
+        FROM pairs_long WHERE split = 'validation' GROUP BY lang"""),
+    "select_lang_plain": _with_views(_texts("example_id", "premise", "hypothesis", "pairs_long")),
+    "catalog_open": _with_views("""SELECT lang, split, count(*) AS n, CAST(sum(length(premise)) AS BIGINT) AS chars
+        FROM pairs_long WHERE lang IN ('de', 'fr') GROUP BY ALL"""),
+}
+
 _DECODED = r"""SELECT example_id, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM (
     SELECT t.example_id, t.pos, CASE t.id WHEN 0 THEN '<s>' WHEN 1 THEN '<pad>' WHEN 2 THEN '</s>' WHEN 3 THEN '<unk>'
            ELSE v.word END AS tok
-    FROM (SELECT example_id, unnest(ids[1:20]) AS id, unnest(range(1, 21)) AS pos
+    FROM (SELECT example_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos
           FROM (SELECT example_id, CAST(string_split(input_ids, ' ') AS INTEGER[]) AS ids FROM ({encoded}) e) s) t
     LEFT JOIN vocab v ON v.token_id = t.id) x GROUP BY example_id"""
 ORACLES["decode_ids"] = _with_views(_DECODED.replace("{encoded}", ORACLES["encode_pairs"]))

@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lingospan.config import PAIR_MAX_LENGTH, work_folder
-from lingospan.functions import labels, text, vectors
+from lingospan.config import PAIR_MAX_LENGTH, TOKEN_SEQUENCE_MAX_LENGTH, work_folder
+from lingospan.functions import labels, multilingual, text, vectors
 from lingospan.operators import encoding, errors, evaluation, history, ordering, pairs, profiling, scoring, transfer
 from lingospan.plans import fixtures as fx
 from lingospan.schemas import NER_LABELS, NLI_LABELS, category_dim, language_dim
-from lingospan.sources import ingest, readers, writers
+from lingospan.sources import ingest, readers, registry, writers
 from lingospan import streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,7 +159,12 @@ def bulk_score_csv(spark, sf_dir):
     schema = "conv_id BIGINT, turn BIGINT, premise STRING, hypothesis STRING"
     scored = scoring.score_pairs(readers.read_pairs_csv(spark, upload, schema), length_model)
     writers.write_json(scored, result)
-    return _scored_turns(spark.read.schema(scored.schema).json(result))
+    back = spark.read.schema(scored.schema).json(result)
+    # The same as a sheet; what is read back from the two must agree.
+    sheet = work_folder(spark, "scored-sheet")
+    columns = ["conv_id", "turn", "predicted_name", "confidence", "status"]
+    writers.write_csv(back.select(*columns), sheet)
+    return _scored_turns(readers.read_csv(spark, sheet, back.select(*columns).schema))
 
 
 @query
@@ -200,6 +206,23 @@ def select_lang_first(spark, sf_dir):
     return _texts(pairs.select_language(fx.pairs_wide(spark, sf_dir), "fr", "first"), "example_id")
 
 
+@query
+def select_lang_plain(spark, sf_dir):
+    """Plain text is passed through, whatever language is asked for."""
+    rows = fx.pairs_long(spark, sf_dir)
+    chosen = [multilingual.language_text(rows, c, "zh", "error").alias(c) for c in ("premise", "hypothesis")]
+    return rows.select("example_id", *chosen, big("label").alias("label"))
+
+
+@query
+def catalog_open(spark, sf_dir):
+    """A registered dataset stored by language, opened by name for some languages."""
+    base = work_folder(spark, "catalog")
+    writers.write_partitioned(fx.pairs_long(spark, sf_dir), f"{base}/xnli/all_languages", ["lang"])
+    opened = registry.Catalog(spark, [f"{base}/none", base]).open("xnli", ["de", "fr", "zh"])
+    return opened.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum(F.length("premise")).alias("chars"))
+
+
 @query
 def unpivot_languages(spark, sf_dir):
     return _texts(pairs.unpivot_languages(fx.pairs_wide(spark, sf_dir), ["en", "de", "fr"]), "example_id", "lang")
@@ -377,9 +400,12 @@ def error_records(spark, sf_dir):
 @query
 def union_language_errors(spark, sf_dir):
     """Per-language error lists collected separately and appended."""
-    scored = fx.nli_predictions(spark, sf_dir)
+    # Predictions by language, as they are stored when every language is scored by itself.
+    folder = work_folder(spark, "predictions")
+    fx.nli_predictions(spark, sf_dir).write.partitionBy("lang").parquet(folder)
+    scored = spark.read.parquet(folder)
     lists = [
-        errors.collect_errors(scored.where(F.col("lang") == lang), language_dim(spark), 5) for lang in PRESENT
+        errors.collect_errors(scored.where(F.col("lang") == lang), language_dim(spark)) for lang in PRESENT
     ]
     union = lists[0]
     for part in lists[1:]:
@@ -442,8 +468,8 @@ def category_by_script(spark, sf_dir):
 
 @query
 def suggest_category(spark, sf_dir):
-    named = fx.errors(spark, sf_dir, spread=True).withColumn("predicted_label", F.col("predicted_name"))
-    return errors.suggest_category(named, LANGUAGES).select("example_id", "language", "suggested_category")
+    named = fx.errors(spark, sf_dir).withColumn("predicted_label", F.col("predicted_name"))
+    return errors.suggest_category(named).select("example_id", "language", "suggested_category")
 
 
 # ---- corpus statistics -------------------------------------------------------------------------------
@@ -537,6 +563,41 @@ def best_epoch(spark, sf_dir):
     )
 
 
+@query
+def error_total(spark, sf_dir):
+    return errors.total_errors(fx.errors(spark, sf_dir))
+
+
+@query
+def category_ranked(spark, sf_dir):
+    """Categories as a list of value counts: the most frequent first, ties by code."""
+    table = errors.category_distribution(fx.annotated_errors(spark, sf_dir), category_dim(spark))
+    return errors.ranked(table.select("code", "count"), F.desc("count"), "code")
+
+
+@query
+def errors_by_language_ranked(spark, sf_dir):
+    """Errors per language in ascending order of its name."""
+    table = errors.errors_by_language(fx.errors(spark, sf_dir)).select("language_name", "count")
+    return errors.ranked(table, "language_name")
+
+
+@query
+def category_unlisted(spark, sf_dir):
+    """Codes that were not asked for are counted together."""
+    return errors.category_crosstab(fx.annotated_errors(spark, sf_dir), "language", ["E1", "E2"])
+
+
+@query
+def char_scripts_shifted(spark, sf_dir):
+    """Letters of documents whose a-z are mapped to Cyrillic, Greek and Han letters, one of them newer than the JVM."""
+    other = "абвгдежзийклмαβγδεζηθ猫犬鳥\U00031350\U0002ebf0"
+    texts = fx.documents(spark, sf_dir).select(
+        "lang", F.translate("text", "abcdefghijklmnopqrstuvwxyz", other).alias("text")
+    )
+    return profiling.char_counts(texts).where(F.col("ch").isin(list(other)))
+
+
 # ---- order and batches -------------------------------------------------------------------------------
 
 
@@ -551,7 +612,9 @@ def assign_batches_shuffled(spark, sf_dir):
     """Sizes of the batches of a seeded shuffle, and the ids they hold together."""
     ids = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"))
     batches = ordering.assign_batches(ids, shuffle=True, seed=7, epoch=1)
-    return batches.groupBy("batch_id").agg(F.count("*").alias("n"))
+    sizes = batches.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("row_index").alias("first_row"))
+    held = batches.agg(F.countDistinct("example_id").alias("ids"), F.sum("example_id").alias("id_sum"))
+    return sizes.select("*", held.select("ids").scalar().alias("ids"), held.select("id_sum").scalar().alias("id_sum"))
 
 
 @query
@@ -560,6 +623,25 @@ def number_rows_by_language(spark, sf_dir):
     return ordering.number_rows(documents, "doc_id", ["lang"])
 
 
+def _some_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their language, every third one without."""
+    lang = F.when(F.col("doc_id") % 3 > 0, F.col("lang"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", lang.alias("lang"), "text")
+
+
+@query
+def number_rows_null_key(spark, sf_dir):
+    """Rows without a language are a group of their own."""
+    return ordering.number_rows(_some_language(spark, sf_dir).select("doc_id", "lang"), "doc_id", ["lang"])
+
+
+@query
+def first_n_large(spark, sf_dir):
+    """The first 5,000 rows of each language, and of those without one."""
+    first = ordering.first_n_per_group(_some_language(spark, sf_dir), ["lang"], "doc_id", 5_000)
+    return first.select("doc_id", "lang", big("rank").alias("rank"), F.md5("text").alias("text"))
+
+
 # ---- vocabulary and encoding -------------------------------------------------------------------------
 
 
@@ -569,6 +651,13 @@ def fit_vocab(spark, sf_dir):
     return fitted.select(big("token_id").alias("token_id"), "word", "n")
 
 
+@query
+def fit_vocab_all(spark, sf_dir):
+    """Every word of the corpus, none left out."""
+    fitted = encoding.fit_vocabulary(fx.documents(spark, sf_dir), ["text"], None)
+    return fitted.select(big("token_id").alias("token_id"), "word", "n")
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> encoding.Vocabulary:
     """Fitted on the training rows of the source language."""
     train = pairs.select_rows(fx.pairs_long(spark, sf_dir), "train", ["en"])
@@ -604,7 +693,7 @@ def encode_longest(spark, sf_dir):
     """Each batch of 16 padded to its own longest row."""
     batched = ordering.assign_batches(fx.pairs_long(spark, sf_dir))
     vocabulary = _vocabulary(spark, sf_dir)
-    return _flat_ids(encoding.encode(batched, vocabulary, padding="longest", batch="batch_id", max_length=64))
+    return _flat_ids(encoding.encode(batched, vocabulary, padding="longest", batch="batch_id"))
 
 
 @query
@@ -621,6 +710,19 @@ def encode_paraphrase(spark, sf_dir):
     return _flat_ids(encoded.withColumn("id", F.concat_ws("-", "id", "lang")), "id")
 
 
+@query
+def encode_single(spark, sf_dir):
+    """One text per row: ids of the whole document between the two special tokens, up to the length limit."""
+    documents = fx.documents(spark, sf_dir).select(F.col("doc_id").alias("example_id"), "text", F.lit(0).alias("label"))
+    return _flat_ids(encoding.encode(documents, _vocabulary(spark, sf_dir), first="text", second=None))
+
+
+@query
+def encode_tokens_256(spark, sf_dir):
+    """Pairs in the length that token-level tasks use."""
+    return _flat_ids(_encoded(spark, sf_dir, max_length=TOKEN_SEQUENCE_MAX_LENGTH))
+
+
 @query
 def decode_ids(spark, sf_dir):
     vocabulary = _vocabulary(spark, sf_dir)
@@ -664,19 +766,66 @@ def score_callable(spark, sf_dir):
     return _scored_turns(scoring.score_pairs(_turn_pairs(spark, sf_dir), length_model, validate=True))
 
 
+def text_model() -> scoring.Model:
+    """A stand-in for a user's model of single texts: logits from the length."""
+
+    def model(texts: pd.Series, _: pd.Series | None) -> np.ndarray:
+        n = texts.str.len().to_numpy()
+        return np.stack([n % 7, n % 5, n % 3], axis=1) / 2.0
+
+    return model
+
+
+@query
+def predict_single(spark, sf_dir):
+    """Single texts scored with a user's model."""
+    documents = fx.documents(spark, sf_dir).select(F.col("doc_id").alias("example_id"), "text")
+    scored = scoring.score_pairs(documents, text_model, premise="text", hypothesis=None)
+    return scored.select("example_id", "status", "predicted_name", r6("confidence").alias("confidence"))
+
+
+@query
+def compare_models_failed(spark, sf_dir):
+    """The second model fails on some pairs and was not run on others."""
+    logits = fx.nli_logits(spark, sf_dir)
+    some = logits.where(F.col("example_id") % 7 > 0).withColumn("m0", F.when(F.col("example_id") % 5 > 0, F.col("m0")))
+    both = evaluation.compare_models(scoring.score_logits(logits, fx.LOGITS_A), scoring.score_logits(some, fx.LOGITS_B))
+    return both.withColumns({"agreement": r6("agreement"), "accuracy_delta": r6("accuracy_delta")})
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """A fitted pipeline, and the same saved and loaded, give the same predictions."""
+    rows = fx.pairs_long(spark, sf_dir)
+    train, test = pairs.train_eval_frames(rows, "en", PRESENT)
+    model = transfer.fit_pairs(train)
+    path = work_folder(spark, "model")
+    transfer.save_model(model, path)
+    one = scoring.score_pipeline(test, model).select("example_id", "lang", F.col("probs").alias("one"))
+    two = scoring.score_pipeline(test, transfer.load_model(path)).select("example_id", F.col("probs").alias("two"))
+    return one.join(two, "example_id").groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(F.col("one") == F.col("two")).alias("same")
+    )
+
+
 @query
 def score_latency(spark, sf_dir):
     scored = scoring.score_callable(fx.pairs_long(spark, sf_dir), length_model, timed=True)
-    return scoring.latency_summary(scored, ["lang"])
+    return scoring.latency_summary(scored, ["lang"]).select(
+        "lang", "n", (F.col("p50_ms") >= 0).alias("positive"), (F.col("p50_ms") <= F.col("p95_ms")).alias("ordered")
+    )
 
 
 @query
 def zero_shot_transfer(spark, sf_dir):
     """Fitted on English training rows, evaluated on the validation rows of every language."""
-    result = transfer.train_and_evaluate(
-        fx.pairs_long(spark, sf_dir), PRESENT, num_features=1 << 12, max_iter=10
-    )
-    return result.evaluation.select("lang", "n", "correct", "accuracy", "gap")
+    table = transfer.train_and_evaluate(fx.pairs_long(spark, sf_dir), PRESENT).evaluation
+    source = F.max(F.when(F.col("lang") == "en", F.col("accuracy"))).over(Window.partitionBy())
+    return table.select(
+        "lang", "n", F.col("correct").between(0, F.col("n")).alias("counted"),
+        (r6("accuracy") == r6(F.try_divide(F.col("correct").cast("double"), F.col("n")))).alias("divided"),
+        (r6("gap") == r6(source - F.col("accuracy"))).alias("compared"),
+    )
 
 
 # ---- streams -----------------------------------------------------------------------------------------

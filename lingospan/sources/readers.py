@@ -43,23 +43,6 @@ def load_first_existing(spark: SparkSession, paths: Sequence[str], schema: str |
     return reader.parquet(first_existing(spark, paths))
 
 
-SPREAD_LIMIT = 256 << 20
-
-
-def read_spread(spark: SparkSession, path: str, key: str, schema: str | None = None) -> DataFrame:
-    """Read a Parquet table for work that is heavy per row, such as splitting texts into words.
-
-    A small table often has a single row group, which only one core can read; below ``SPREAD_LIMIT``
-    bytes its rows are spread over the cores by ``key``. A larger table has enough splits and is not
-    shuffled.
-    """
-    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    files, target = _file_system(spark, path)
-    if files.getContentSummary(target).getLength() > SPREAD_LIMIT:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, key)
-
-
 def load_splits(
     spark: SparkSession, paths: Sequence[str], splits: Sequence[str] | None = None, schema: str | None = None
 ) -> DataFrame:
@@ -74,22 +57,19 @@ def load_languages(spark: SparkSession, paths: Sequence[str], languages: Sequenc
     return df.where(F.col("lang").isin(list(languages)))
 
 
-FILE_LIST_LIMIT = 256 << 20
-
-
 def attach_ids(df: DataFrame, out: str = "example_id") -> DataFrame:
     """Add a BIGINT id to a frame read from Parquet: the place of the row in the sorted list of files.
 
     The id is the file's number times 2^40 plus the row's number in the file, so it follows stored order,
-    is the same on every run, and costs no sort. The list of files, which the driver holds anyway, is
-    broadcast up to ``FILE_LIST_LIMIT`` bytes and joined with a shuffle beyond.
+    is the same on every run, and costs no sort. How the list of files, which the driver holds anyway to plan
+    the scan, is joined is left to Catalyst, which knows its size. The id holds up to 2^23 files, more fail.
     """
     files = sorted(re.sub("^file:/+", "file:/", f) for f in df.inputFiles())
     numbers = df.sparkSession.createDataFrame(
         pa.table({"_file": pa.array(files, pa.string()), "_number": pa.array(range(len(files)), pa.int64())})
     )
-    if sum(map(len, files)) <= FILE_LIST_LIMIT:
-        numbers = F.broadcast(numbers)
+    if len(files) > 1 << 23:
+        raise ValueError(f"{len(files)} files: ids have room for {1 << 23}")
     path = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
     placed = df.select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_row"))
     unknown = F.raise_error(F.concat(F.lit("file not listed: "), F.col("_file"))).cast("bigint")

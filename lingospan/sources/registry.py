@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from lingospan.schemas import NER_DDL, PAIRS_DDL, PARAPHRASE_DDL
 from lingospan.sources.readers import load_first_existing, load_languages
@@ -15,13 +16,13 @@ DATASETS = {
     "xnli": {
         "path": "xnli",
         "config": "all_languages",
-        "task": "Natural Language Inference (3-class classification)",
+        "task": "does one sentence follow from another (three classes)",
     },
-    "wikiann": {"path": "wikiann", "config": "en", "task": "Named Entity Recognition"},
+    "wikiann": {"path": "wikiann", "config": "en", "task": "names of people, places and organisations, word by word"},
     "paws-x": {
         "path": "google-research-datasets/paws-x",
         "config": "en",
-        "task": "Paraphrase Identification (binary classification)",
+        "task": "do two sentences mean the same (two classes)",
     },
 }
 
@@ -41,10 +42,19 @@ class Catalog:
     def open(self, name: str, languages: Sequence[str] | None = None) -> DataFrame:
         if name not in DATASETS:
             raise KeyError(f"unknown dataset {name}; known: {sorted(DATASETS)}")
-        paths = [f"{base.rstrip('/')}/{name}" for base in self.bases]
-        if languages is None:
-            return load_first_existing(self.spark, paths)
-        return load_languages(self.spark, paths, languages)
+        folders = [f"{base.rstrip('/')}/{name}" for base in self.bases]
+        # The folder of the default configuration first, then one that holds all of the dataset.
+        paths = [p for folder in folders for p in (f"{folder}/{DATASETS[name]['config']}", folder)]
+        df = load_first_existing(self.spark, paths) if languages is None else load_languages(self.spark, paths, languages)
+        self._check(name, df)
+        return df
+
+    @staticmethod
+    def _check(name: str, df: DataFrame) -> None:
+        """Raise unless the table has the declared columns; types may be wider, further columns are kept."""
+        wanted = set(T.StructType.fromDDL(SCHEMAS[name]).fieldNames())
+        if missing := wanted - set(df.columns):
+            raise ValueError(f"{name}: columns {sorted(missing)} are missing")
 
     def register_views(self, names: Sequence[str] | None = None) -> list[str]:
         """Temporary views (``-`` becomes ``_``) over the registered datasets."""
@@ -55,5 +65,3 @@ class Catalog:
             views.append(view)
         return views
 
-
-Source = Callable[[], DataFrame]

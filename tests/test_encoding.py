@@ -105,7 +105,16 @@ def test_decode(spark, vocabulary):
     row = encoding.decode_ids(encoded, vocabulary).first()
     assert row.tokens == ["<s>", "w1", "<unk>", "</s>", "</s>", "w2", "</s>", "<pad>", "<pad>"]
     odd = spark.createDataFrame([([0, -1, 999],), ([],)], "input_ids array<int>")
-    assert [r.tokens for r in encoding.decode_ids(odd, vocabulary, first=None).collect()] == [["<s>", "<unk>", "<unk>"], []]
+    assert [r.tokens for r in encoding.decode_ids(odd, vocabulary).collect()] == [["<s>", "<unk>", "<unk>"], []]
+
+
+def test_vocabulary_too_large_to_hold(spark, monkeypatch):
+    frame = spark.createDataFrame([(4, "long" * 5), (5, "word")], "token_id int, word string")
+    monkeypatch.setattr(encoding, "MAX_BYTES", 39)
+    with pytest.raises(ValueError, match="40 bytes"):
+        encoding.Vocabulary.from_frame(frame)
+    monkeypatch.setattr(encoding, "MAX_BYTES", 40)
+    assert len(encoding.Vocabulary.from_frame(frame)) == 6
 
 
 @pytest.mark.parametrize("size", [1, 3, 7, 100])

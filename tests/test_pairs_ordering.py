@@ -121,6 +121,33 @@ def test_first_n_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+@pytest.mark.parametrize("n", [2, 1000])
+def test_first_n_has_one_rule(spark, n):
+    df = literal_frame(spark, [[1, None, "x"], [2, None, "y"], [3, "a", "z"]], "example_id BIGINT, lang STRING, text STRING")
+    got = {tuple(r) for r in ordering.first_n_per_group(df, ["lang"], "example_id", n).collect()}
+    assert got == {(1, None, "x", 1), (2, None, "y", 2), (3, "a", "z", 1)}
+    with pytest.raises(TypeError, match="integer id"):
+        ordering.first_n_per_group(df, ["lang"], "text", n)
+    missing = df.withColumn("example_id", F.when(F.col("example_id") > 1, F.col("example_id")))
+    with pytest.raises(Exception, match="has a NULL"):
+        ordering.first_n_per_group(missing, ["lang"], "example_id", n).collect()
+    with pytest.raises(Exception, match="has a NULL"):
+        ordering.number_rows(missing, "example_id", ["lang"]).collect()
+
+
+def test_no_text_is_sorted_for_the_first_rows(spark):
+    df = literal_frame(spark, [[1, "a", "z"]], "example_id BIGINT, lang STRING, text STRING")
+    plan = ordering.first_n_per_group(df, ["lang"], "example_id", 15)._jdf.queryExecution().optimizedPlan()
+    windows = [x for x in plan.toString().split("\n") if "Window" in x]
+    assert windows and not any("text" in x for x in windows)
+
+
+def test_null_keys_are_numbered(spark):
+    df = literal_frame(spark, [[1, None], [2, None], [3, "a"]], "example_id BIGINT, lang STRING")
+    got = {tuple(r) for r in ordering.number_rows(df, "example_id", ["lang"]).collect()}
+    assert got == {(1, None, 0), (2, None, 1), (3, "a", 0)}
+
+
 def test_first_rows(spark):
     rows, df = skewed(spark)
     assert [r.example_id for r in ordering.first_rows(df, "example_id", 3).collect()] == sorted(i for i, _ in rows)[:3]

@@ -151,6 +151,32 @@ def test_compare_models(spark):
         assert row.accuracy_delta == pytest.approx((row.only_b - row.only_a) / row.n)
 
 
+def test_compare_models_counts_missing_predictions(spark):
+    ddl = "example_id BIGINT, lang STRING, gold_label INT, predicted_label INT"
+    a = literal_frame(spark, [[1, "en", 0, 0], [2, "en", 1, 1], [3, "en", 2, 0], [5, None, 1, 1]], ddl)
+    b = literal_frame(spark, [[1, "en", 0, None], [3, "en", 2, 2], [4, "en", 0, 0]], ddl)
+    got = {r.lang: r for r in evaluation.compare_models(a, b).collect()}
+    en = got["en"]
+    assert (en.n, en.agree, en.both_right, en.only_a, en.only_b, en.missing_a, en.missing_b) == (4, 0, 0, 2, 2, 1, 2)
+    assert en.accuracy_delta == 0 and got[None].missing_b == 1 and got[None].only_a == 1
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def loader():
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return lambda a, b: [[0.0, 1.0, 2.0]] * len(a)
+
+    df = spark.range(0, 200, numPartitions=20).selectExpr("id AS example_id", "'a' AS premise", "'b' AS hypothesis")
+    assert scoring.score_callable(df, loader).count() == 200
+    scoring.score_callable(df, loader).write.format("noop").mode("overwrite").save()
+    assert 1 <= len(list(tmp_path.iterdir())) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_typology(spark):
     rows = [[0, "en", 0.9, 0.0], [1, "de", 0.8, 0.1], [2, "ru", 0.6, 0.3], [3, "hi", None, None]]
     table = literal_frame(spark, rows, "position INT, lang STRING, accuracy DOUBLE, gap DOUBLE")
