@@ -118,9 +118,11 @@ def lines(page: str) -> list[tuple[str, int]]:
         if match[1]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    flush()
                     del stack[depth:]
-                    state = stack[-1][1] if stack else OPEN
+                    after = stack[-1][1] if stack else OPEN
+                    if after != state:
+                        flush()
+                    state = after
                     break
             continue
         if name in RAW:
