@@ -33,4 +33,50 @@ QUERIES: dict[str, Query] = {
     "op10_boosted_personal_data": _over("documents", personal.op10_boosted_personal_data),
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express a digest; the other operators are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_forest_components": r"""
+        WITH RECURSIVE worded AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+          FROM worded),
+        shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+          GROUP BY 1, 2),
+        links AS (
+          SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+          WHERE 100 * k >= 80 * (len(x.s) + len(y.s) - k)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+          SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM reached JOIN sets USING (doc_id) GROUP BY doc_id, len(s)""",
+    "op7_prefix_free_repeats": r"""
+        WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        strings AS (
+          SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k
+          FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p FROM bytes) t),
+        again AS (
+          SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM strings) t
+          WHERE r > 1),
+        runs AS (
+          SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (
+            SELECT *, sum(CASE WHEN p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+            FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again) t) u
+          GROUP BY doc_id, run),
+        pieces AS (
+          SELECT r.doc_id, a, z, substr(h, 2 * coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1,
+                   2 * (a - coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0))) AS piece
+          FROM runs r JOIN bytes b ON b.doc_id = r.doc_id),
+        removed AS (
+          SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n, count(*) AS spans, string_agg(piece, '' ORDER BY a) AS head, max(z) AS z
+          FROM pieces GROUP BY doc_id)
+        SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+          sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM bytes b LEFT JOIN removed r ON r.doc_id = b.doc_id""",
+}
