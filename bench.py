@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,7 +20,8 @@ HEADLINE = [
     "label_distribution", "dataset_sizes", "char_script_counts", "script_histogram", "token_word_ratio",
     "text_length_stats", "epoch_loss", "best_epoch", "assign_batches", "number_rows_by_language", "fit_vocab",
     "encode_pairs", "encode_longest", "decode_ner_tags", "score_pairs", "score_callable", "stream_score_pairs",
-    "zero_shot_transfer",
+    "zero_shot_transfer", "encode_longest_all", "decode_ids", "sample_rows", "first_n_large", "bulk_score_csv",
+    "union_language_errors", "compare_models_failed", "fit_vocab_all",
 ]
 
 
@@ -33,6 +35,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-shared-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

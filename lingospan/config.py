@@ -10,8 +10,6 @@ from pyspark.sql import SparkSession
 
 # Language lists and defaults of the evaluation protocol.
 EVAL_LANGUAGES = ["en", "de", "zh", "ar", "ru", "hi"]
-TARGET_LANGUAGES = ["en", "de", "zh", "ar", "ru", "hi", "ja"]
-PARAPHRASE_LANGUAGES = ["en", "de", "zh", "ja"]
 SPLITS = ["train", "validation", "test"]
 PAIR_MAX_LENGTH = 128
 TOKEN_SEQUENCE_MAX_LENGTH = 256
@@ -31,13 +29,10 @@ class Config:
     eval_langs: list[str] = field(default_factory=lambda: list(EVAL_LANGUAGES))
     train_split: str = "train"
     eval_split: str = "validation"
-    num_classes: int = 3
     max_length: int = PAIR_MAX_LENGTH
-    batch_size: int = BATCH_SIZE
     errors_per_language: int = ERRORS_PER_LANGUAGE
     num_features: int = 1 << 14
     max_iter: int = 20
-    seed: int = 42
 
 
 def build_session(app: str = "lingospan", master: str | None = None, **conf: str) -> SparkSession:

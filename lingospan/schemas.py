@@ -10,19 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-PAIRS_WIDE_DDL = (
-    "example_id BIGINT, split STRING, premise MAP<STRING,STRING>, hypothesis MAP<STRING,STRING>, label INT"
-)
 PAIRS_DDL = "example_id BIGINT, split STRING, lang STRING, premise STRING, hypothesis STRING, label INT"
 PARAPHRASE_DDL = "id BIGINT, split STRING, lang STRING, sentence1 STRING, sentence2 STRING, label INT"
 NER_DDL = "id BIGINT, split STRING, lang STRING, tokens ARRAY<STRING>, ner_tags ARRAY<INT>"
-ENCODED_DDL = (
-    "example_id BIGINT, lang STRING, input_ids ARRAY<INT>, attention_mask ARRAY<INT>, labels INT"
-)
-PREDICTION_DDL = (
-    "example_id BIGINT, lang STRING, premise STRING, hypothesis STRING, gold_label INT, "
-    "probs ARRAY<DOUBLE>, predicted_label INT, predicted_name STRING, confidence DOUBLE, status STRING"
-)
 ERROR_DDL = (
     "id INT, language STRING, language_name STRING, family STRING, script STRING, morphology STRING, "
     "word_order STRING, premise STRING, hypothesis STRING, gold_label STRING, predicted_label STRING, "
@@ -42,7 +32,6 @@ CATEGORY_DDL = "code STRING, description STRING"
 LABEL_DDL = "task STRING, id INT, name STRING"
 EXAMPLE_DDL = "premise STRING, hypothesis STRING, language STRING"
 TRAIN_LOG_DDL = "epoch INT, step BIGINT, loss DOUBLE"
-EPOCH_LOG_DDL = "epoch INT, val_accuracy DOUBLE"
 
 ANNOTATION_COLUMNS = [part.split()[0] for part in ANNOTATION_DDL.split(", ")]
 
@@ -63,18 +52,6 @@ LANGUAGES = [
     ("hi", "Hindi", "Indo-Aryan", "Devanagari", "High", "SOV"),
 ]
 
-# Display name and code of the selectable languages.
-DISPLAY_LANGUAGES = [
-    ("English", "en"),
-    ("German", "de"),
-    ("Chinese", "zh"),
-    ("Arabic", "ar"),
-    ("Russian", "ru"),
-    ("Hindi", "hi"),
-    ("French", "fr"),
-    ("Spanish", "es"),
-    ("Japanese", "ja"),
-]
 
 # Error categories used in annotation.
 ERROR_CATEGORIES = [

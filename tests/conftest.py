@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            # The folder that a cluster shares: intermediate tables and checkpoints go there.
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-shared-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
