@@ -30,9 +30,9 @@ from lingospan.llm.shingles import _BASE, _UNBASE, _VALUE, mix, powers
 LENGTH, GRAM = 100, 36
 #: Bits of a packed value that hold a position; texts are parsed in stretches that fit.
 PLACE_BITS = 21
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 #: Bytes of text whose phrases are combined before the shuffle.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Phrases up to which their places are broadcast to the texts (24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 
