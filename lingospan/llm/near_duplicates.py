@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -173,21 +172,13 @@ def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union."""
-
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            at = np.searchsorted(y, x)
-            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            out.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        return pd.Series(out, dtype=bool)
-
+    """Pairs with 100 * intersection >= percent * union. Compared in the JVM: sets of long texts, two in a row, would
+    make Arrow batches of unknown size."""
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = 100 * shared >= percent * (F.size("x") + F.size("y") - shared)
     one = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").filter(linked("x", "y")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(linked).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,15 +227,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             at = 0
             for texts in pieces(batch.column(1).to_pylist()):
                 hashes, offsets = shingle_sets(texts, words)
-                kept = [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(kept, pa.binary())], ["rep", "hashes"]
-                )
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["rep", "hashes"])
                 at += len(texts)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
     # Rows that repeat a doc_id with other texts: the set must be the one that was signed.
-    sets = texts.mapInArrow(hash_sets, "rep bigint, hashes binary").filter("length(hashes) > 0")
+    sets = texts.mapInArrow(hash_sets, "rep bigint, hashes array<bigint>").filter("size(hashes) > 0")
     sets = cut(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")))
     named = None
     reach = NEIGHBOURS
