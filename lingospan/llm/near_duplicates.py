@@ -26,8 +26,8 @@ from lingospan.llm.shingles import mix, pieces, shingle_sets
 #: Values of a signature, trees, and values that a region agrees on. A pair with a similarity of 0.8 shares a region
 #: with probability 1 - (1 - 0.8^4)^24, that is 0.999997.
 VALUES, TREES, REGION = 128, 24, 4
-#: Pairs whose signatures agree less than the threshold by this much are not compared: over five standard deviations.
-SLACK = 0.2
+#: Pairs whose signatures agree less than the threshold by this much are not compared: four standard deviations.
+SLACK = 0.14
 #: Neighbours compared in the first round; later rounds take eight times as many.
 NEIGHBOURS = 1
 #: Rows up to which a table of ids is broadcast (16 bytes each).
@@ -111,7 +111,12 @@ def _regions(classes: DataFrame) -> DataFrame:
 
 def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float) -> DataFrame:
     """(a, b): pairs of one region and different components, each document with its ``reach`` next ones in the order
-    that belong to another component, where the signatures agree on ``least`` of their values."""
+    that belong to another component, where the signatures agree on ``least`` of their values.
+
+    Beyond the nearest neighbours a pair is taken in the first tree that has it in a region, and in no other.
+    """
+    heads = _ORDERS[:, :REGION]
+    everywhere = reach == NEIGHBOURS
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +126,8 @@ def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float)
             path = np.take_along_axis(signed, _ORDERS[batch.column(2).to_numpy()], axis=1).astype(">u4")
             path = [row.tobytes() for row in path[:, REGION : REGION + 16]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(path, pa.binary()), batch.column(4)],
-                ["region", "rep", "part", "path", "signature"],
+                [*(batch.column(i) for i in (0, 1, 3, 2)), pa.array(path, pa.binary()), batch.column(4)],
+                ["region", "rep", "part", "tree", "path", "signature"],
             )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +137,9 @@ def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float)
         for batch in batches:
             left: list[int] = []
             right: list[int] = []
-            signed = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
-            for i, (region, rep, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            signed = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+            rows = zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
+            for i, (region, rep, part, tree) in enumerate(rows):
                 if region != last:
                     last, held = region, []
                 met = 0
@@ -144,7 +150,8 @@ def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float)
                         if met >= reach:
                             break
                         met += 1
-                        if (back[2] == signed[i]).mean() >= least:
+                        same = back[2] == signed[i]
+                        if same.mean() >= least and (everywhere or same[heads].all(axis=1).argmax() == tree):
                             left.append(min(rep, back[0]))
                             right.append(max(rep, back[0]))
                 held.append((rep, part, signed[i]))
@@ -163,7 +170,7 @@ def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float)
         regions.select("region", "rep", "tree")
         .join(parts, "rep")
         .select("region", "rep", "tree", "part", "signature")
-        .mapInArrow(order, "region bigint, rep bigint, part bigint, path binary, signature binary")
+        .mapInArrow(order, "region bigint, rep bigint, part bigint, tree int, path binary, signature binary")
         .repartition("region")
         .sortWithinPartitions("region", "path", "rep")
         .mapInArrow(pair, "a bigint, b bigint")
