@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int, per_part: int = 500_000) -> DataFrame:
+    """A narrow table of about ``rows`` rows in as few partitions as they need, so that what follows writes few files."""
+    return df.coalesce(rows // per_part + 1)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet into the shared folder, and read again."""
     base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="llm-")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingospan.llm.common import cut
+from lingospan.llm.common import compact, cut
 from lingospan.llm.shingles import mix, pieces, shingle_sets
 
 #: Values of a signature, trees, and values that a region agrees on. A pair with a similarity of 0.8 shares a region
@@ -61,6 +61,10 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, digest, signature) of every document; no signature for an empty set."""
 
@@ -76,7 +80,7 @@ def _sets_of(docs: DataFrame, size: int) -> DataFrame:
                     heads = np.append(offsets[:-1][full], offsets[-1])
                     for i, row in zip(full, signatures(hashes, heads), strict=True):
                         signed[i] = row.tobytes()
-                digests = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
+                digests = [_digest(hashes[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(counts), pa.array(digests), pa.array(signed, pa.binary())],
                     ["doc_id", "n", "digest", "signature"],
@@ -192,22 +196,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, part): the least node that each linked node can be reached from, by alternating large and small stars."""
     edges = cut(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct())
     before = None
+    rows = edges.count()
     while True:
+        edges = compact(edges, rows)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = compact(large, rows).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(
-            large.join(small, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-            .select("col.*")
-            .filter("u <> v")
-            .distinct()
-        )
+        linked = compact(large.join(small, "u"), rows).select(
+            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        )
+        edges = cut(compact(linked.select("col.*").filter("u <> v").distinct(), rows))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("part"))
-        before = state
+        before, rows = state, state[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -223,11 +227,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).filter("rep IS NOT NULL")
     )
     regions = cut(_regions(classes))
-    members = regions.select("rep").distinct()
-    members = cut(members)
-    count = members.count()
-    wanted = F.broadcast(members) if count <= BROADCAST_ROWS else members
-    parts = cut(classes.join(wanted, "rep").select("rep", "signature").withColumn("part", F.col("rep")))
+    count = regions.count()
+    inside = compact(regions.select("rep").distinct(), count)
+    members = cut(compact(classes.select("rep", "digest").join(inside, "rep"), count))
+    size = members.count()
+    wanted = F.broadcast(members) if size <= BROADCAST_ROWS else members
+    parts = compact(classes.join(wanted.select("rep"), "rep").select("rep", "signature"), size, 50_000)
+    parts = cut(parts.withColumn("part", F.col("rep")))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,30 +241,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             for texts in pieces(batch.column(1).to_pylist()):
                 hashes, offsets = shingle_sets(texts, words)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["rep", "hashes"])
+                # A row that repeats a doc_id with another text has another set than the one that was signed.
+                signed = batch.column(2).slice(at, len(texts)).to_pylist()
+                own = [_digest(hashes[a:b]) == d for a, b, d in zip(offsets, offsets[1:], signed, strict=False)]
+                found = pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["rep", "hashes"])
+                yield found.filter(pa.array(own))
                 at += len(texts)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    # Rows that repeat a doc_id with other texts: the set must be the one that was signed.
-    sets = texts.mapInArrow(hash_sets, "rep bigint, hashes array<bigint>").filter("size(hashes) > 0")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("rep", "text", "digest")
+    sets = texts.mapInArrow(hash_sets, "rep bigint, hashes array<bigint>")
     sets = cut(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")))
-    named = None
     reach = NEIGHBOURS
     while count:
         found = cut(_confirmed(_candidates(regions, parts, reach, percent / 100 - SLACK), sets, percent))
-        if found.take(1):
+        links = found.count()
+        if links:
+            found = compact(found, links)
             ends = parts.select("rep", "part")
             joined = found.join(ends.toDF("a", "p"), "a").join(ends.toDF("b", "q"), "b").select("p", "q").toDF("a", "b")
             moved = components(joined).toDF("part", "to")
-            parts = cut(
-                parts.join(moved, "part", "left").select("rep", "signature", F.coalesce("to", "part").alias("part"))
-            )
+            parts = parts.join(moved, "part", "left").select("rep", "signature", F.coalesce("to", "part").alias("part"))
+            parts = cut(compact(parts, size, 50_000))
         open_regions = (
             regions.join(parts.select("rep", "part"), "rep").groupBy("region")
             .agg(F.count("*").alias("rows"), F.min("part").alias("least"), F.max("part").alias("most"))
             .filter(f"rows > {reach + 1} AND least <> most").select("region")
         )
-        regions = cut(regions.join(open_regions, "region", "left_semi"))
+        regions = cut(compact(regions.join(open_regions, "region", "left_semi"), count))
         count = regions.count()
         reach *= 8
     named = parts.select("rep", "part")
