@@ -1,10 +1,9 @@
 """Main text of web pages by markup and by differencing against the page with the nearest URL.
 
 Pages of one host that lie next to each other by URL path share their template. A page's text lines are aligned with
-those of its nearest neighbour by longest common subsequence; a shared line is template and goes. Markup comes first
-where it speaks plainly: an ``article`` or ``main`` element is the main text (so that a page whose neighbour is a copy
-of it keeps its text), and menus, forms, adverts, comments and the like are never main text. Differencing decides on
-every other line.
+those of its nearest neighbour by longest common subsequence; a shared line is template and goes, inside an
+``article`` or ``main`` element too. Markup is the guard: where nearly all of such an element is shared, the neighbour
+is a copy and the element stays whole; menus, forms, adverts, comments and the like are never main text.
 """
 
 from __future__ import annotations
@@ -52,6 +51,8 @@ WORDS = re.compile(r"[a-z]+")
 
 #: What markup says of a line.
 MAIN, OPEN, BOILERPLATE = 0, 1, 2
+#: A neighbour that shares this part of the main lines, and of their letters, is a copy of the page.
+COPY = 0.8
 
 
 def _says(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -197,10 +198,13 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
 def main_text(page: str, neighbour: list[int] | None) -> str:
     """Main text of a page whose nearest neighbour has lines with these hashes."""
     blocks = lines(page)
-    if any(kind == MAIN for _, kind in blocks):
-        return "\n".join(text for text, kind in blocks if kind == MAIN)
     shared = set(aligned(line_hashes(blocks), neighbour)) if neighbour else set()
-    return "\n".join(text for i, (text, kind) in enumerate(blocks) if kind == OPEN and i not in shared)
+    if shared:
+        main = [(i in shared, len(text)) for i, (text, kind) in enumerate(blocks) if kind == MAIN]
+        letters = sum(n for _, n in main)
+        if sum(s for s, _ in main) >= COPY * len(main) and sum(n for s, n in main if s) >= COPY * letters:
+            shared = {i for i in shared if blocks[i][1] != MAIN}
+    return "\n".join(text for i, (text, kind) in enumerate(blocks) if kind != BOILERPLATE and i not in shared)
 
 
 def line_hashes(blocks: list[tuple[str, int]]) -> list[int]:
@@ -259,7 +263,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``pages`` with ``text``, for every row; other columns stay, a column named ``text`` is replaced.
 
     A null or empty page has an empty text. The id names a page; rows that repeat an id take the same neighbour. A
-    host's only page has no neighbour: what markup leaves open then counts as main text.
+    host's only page has no neighbour: what markup leaves open then counts as main text. A copy without an ``article``
+    or ``main`` element has nothing of its own and loses what it shares.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     source = pages.drop("text") if "text" in pages.columns else pages
@@ -269,24 +274,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [lines(page or "") for page in batch.column(1).to_pylist()]
-            undecided = [not any(kind == MAIN for _, kind in b) for b in blocks]
-            hashes = [line_hashes(b) for b in blocks]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(undecided), pa.array(hashes, pa.list_(pa.int64()))],
-                ["key", "undecided", "hashes"],
-            )
+            hashes = [line_hashes(lines(page or "")) for page in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["key", "hashes"])
 
-    of_lines = cut(
-        keyed.select("_key", F.col(html_col)).mapInArrow(hashed, "key string, undecided boolean, hashes array<bigint>")
-        .dropDuplicates(["key"])
-    )
-    # Only pages whose markup leaves lines open are aligned; any page may be the neighbour.
-    needed = (
-        of_lines.filter("undecided").select("key")
-        .join(mates, "key")
-        .join(of_lines.select(F.col("key").alias("mate"), "hashes"), "mate")
-        .select(F.col("key").alias("_key"), F.col("hashes").alias("_mate"))
+    of_lines = cut(keyed.select("_key", F.col(html_col)).mapInArrow(hashed, "key string, hashes array<bigint>").dropDuplicates(["key"]))
+    needed = mates.join(of_lines.withColumnRenamed("key", "mate"), "mate").select(
+        F.col("key").alias("_key"), F.col("hashes").alias("_mate")
     )
 
     @F.pandas_udf("string")

@@ -220,6 +220,24 @@ def test_shared_lines_of_neighbours_go(spark):
     assert mates["2"] in ("1", "7") and "4" not in mates and {mates["1"], mates["7"]} & {"1", "7"}
 
 
+def test_differencing_decides_inside_articles_too(spark):
+    def page(i):
+        story = "".join(f"<p>Story {i} part {k} says {i * k}.</p>" for k in range(3))
+        return f"<body><article><h1>Title {i}</h1><p>Read us by mail</p>{story}</article><div>Imprint</div><div>Open {i}</div></body>"
+
+    rows = [(i, f"http://x.org/{i}", page(i)) for i in range(4)]
+    copy = "<article><p>Long text of a mirrored page.</p><p>More of it.</p></article>"
+    rows += [(10, "http://y.org/a", copy), (11, "http://y.org/b", copy)]
+    body = "<article>Teaser</article><div><p>Top</p><p>Body {}</p></div>"
+    rows += [(20, "http://z.org/a", body.format(1)), (21, "http://z.org/b", body.format(2))]
+    table = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    got = {r.page_id: r.text for r in pages.op3_nearest_url_difference(table).collect()}
+    for i in range(4):
+        assert got[i] == "\n".join([f"Title {i}", *(f"Story {i} part {k} says {i * k}." for k in range(3)), f"Open {i}"])
+    assert got[10] == got[11] == "Long text of a mirrored page.\nMore of it."
+    assert got[20] == "Teaser\nBody 1" and got[21] == "Teaser\nBody 2"
+
+
 # ---- sharding ----------------------------------------------------------------------------------------
 
 
