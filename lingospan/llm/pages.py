@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +42,12 @@ MARKS = frozenset(
     "contentinfo search".split()
 )
 OUTSIDE_MARKS = frozenset("header masthead topbar".split())
+#: What a class such as ``site-nav`` may begin and end with; other words after the first say nothing.
+PLACES = frozenset("site main primary secondary page post entry global top bottom left right mobile user".split())
+PARTS = frozenset("nav navbar navigation menu footer sidebar breadcrumb breadcrumbs comments pagination".split())
+#: Readers' comments, whose articles are not the page's, and what may follow these words (``comments-open`` is a state).
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+COMMENT_PARTS = frozenset("list area section thread threads wrapper body form box container respond item".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -47,7 +55,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-WORDS = re.compile(r"[a-z]+")
+SPLIT = re.compile(r"[-_]+")
 
 #: What markup says of a line.
 MAIN, OPEN, BOILERPLATE = 0, 1, 2
@@ -55,37 +63,63 @@ MAIN, OPEN, BOILERPLATE = 0, 1, 2
 COPY = 0.8
 
 
-def _says(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(opens main text, is boilerplate) for an element; ``inside``: it stands in main text."""
-    words: set[str] = set()
-    hidden = role_main = False
+class _State(NamedTuple):
+    """Where a line stands: the element in which settled boilerplate began, marked elements around it, main text."""
+
+    root: str = ""
+    marked: tuple[int, ...] = ()
+    main: bool = False
+
+
+def _marks(token: str) -> tuple[bool, bool, bool]:
+    """(boilerplate, boilerplate outside main text, readers' comments) of one word of a class or id."""
+    first, *more = SPLIT.split(token)
+    mark = first in MARKS or len(more) == 1 and first in PLACES and more[0] in PARTS
+    comments = first in COMMENTS and (not more or more[0] in COMMENT_PARTS or more[0].isdigit()) or more == ["comments"] and mark
+    return mark, first in OUTSIDE_MARKS, comments
+
+
+def _says(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(opens main text, is boilerplate, is marked) for an element; ``inside``: it stands in main text.
+
+    Element names, roles, hiding and readers' comments settle that it is boilerplate. A mark is only a word of its
+    class or id: it says nothing of an element that is, or holds, the page's article.
+    """
+    marked = outside = settled = role_main = False
     if attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id", "role"):
-                words.update(WORDS.findall(value))
-                role_main |= key == "role" and value in ("main", "article")
+            if key in ("class", "id"):
+                for token in value.split():
+                    mark, out, comments = _marks(token)
+                    marked, outside, settled = marked or mark, outside or out, settled or comments
+            elif key == "role":
+                role_main |= value in ("main", "article")
+                settled |= not MARKS.isdisjoint(value.split())
             elif key == "hidden" or key == "aria-hidden" and value == "true":
-                hidden = True
+                settled = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                hidden = True
+                settled = True
     if name in ("html", "body"):
-        return False, False
-    marked = hidden or not MARKS.isdisjoint(words)
-    if name in ("article", "main") or role_main:
-        return not marked, marked
-    if name in NEVER or marked:
-        return False, True
-    return False, not inside and (name == "header" or not OUTSIDE_MARKS.isdisjoint(words))
+        return False, False, False
+    main = name in ("article", "main") or role_main
+    if settled or name in NEVER and not main or name == "header" and not inside and not main:
+        return False, True, False
+    return main, False, marked or outside and not inside and not main
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """The page's blocks of text in order, each with what markup says of it."""
-    out: list[tuple[str, int]] = []
+    """The page's blocks of text in order, each with what markup says of it.
+
+    The page's articles are those inside the fewest marked elements; these hold them, so their marks do not count.
+    Without an article, the mark of an element with most of the text does not count.
+    """
+    out: list[tuple[str, _State]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, int]] = []  # element, state inside it
-    root = ""  # the element in which boilerplate began
-    state, at, size = OPEN, 0, len(page)
+    stack: list[tuple[str, _State]] = []  # element, state inside it
+    state, at, size = _State(), 0, len(page)
+    n_marked = 0
+    articles: set[tuple[int, ...]] = set()  # the marked elements around each
 
     def flush() -> None:
         if buffer:
@@ -120,7 +154,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     del stack[depth:]
-                    after = stack[-1][1] if stack else OPEN
+                    after = stack[-1][1] if stack else _State()
                     if after != state:
                         flush()
                     state = after
@@ -134,19 +168,39 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:
             stack.pop()
-            state = stack[-1][1] if stack else OPEN
-        opens, boiler = _says(name, match[3], state == MAIN)
-        if state == BOILERPLATE and root not in ("nav", "header"):
-            opens = False  # a reader's comment may be an article; a menu or header that holds one was not closed
-        inner = MAIN if opens else BOILERPLATE if boiler else state
-        if inner == BOILERPLATE != state:
-            root = name
+            state = stack[-1][1] if stack else _State()
+        opens, boiler, marked = _says(name, match[3], state.main)
+        inner = state
+        # A reader's comment may be an article; a menu or header that holds one was not closed.
+        if boiler:
+            inner = state if state.root else state._replace(root=name)
+        elif not state.root or opens and state.root in ("nav", "header"):
+            if marked:
+                n_marked += 1
+                inner = inner._replace(marked=(*inner.marked, n_marked))
+            if opens:
+                inner = inner._replace(root="", main=True)
+                articles.add(inner.marked)
         if inner != state:
             flush()
         stack.append((name, inner))
         state = inner
     flush()
-    return out
+    least = min(map(len, articles), default=0)
+    holders = {m for around in articles if len(around) == least for m in around}
+    if not articles and n_marked:
+        letters: Counter[int] = Counter()
+        for text, where in out:
+            if not where.root:
+                letters.update(dict.fromkeys((0, *where.marked), len(text)))
+        holders = {m for m, n in letters.items() if 2 * n > letters[0]}
+
+    def kind(where: _State) -> int:
+        if where.root or not holders.issuperset(where.marked):
+            return BOILERPLATE
+        return MAIN if where.main else OPEN
+
+    return [(text, kind(where)) for text, where in out]
 
 
 def _last_row(a: list[int], b: list[int]) -> list[int]:

@@ -183,6 +183,27 @@ def test_article_of_a_page():
     assert pages.main_text("<p>one<p>two<div>three</div>four<script>x", None) == "one\ntwo\nthree\nfour"
 
 
+def test_class_words_do_not_drop_the_article():
+    body = "<h1>Title</h1><p>Body</p><div class='ad'>Buy</div><div class='share-buttons'>Share</div>"
+    for open_, close in [
+        ("<div class='layout has-sidebar'><article>", "</article></div>"),
+        ("<div id='search-page'><main>", "</main></div>"),
+        ("<div class='search'><div class='widget wide'><article>", "</article></div></div>"),
+        ("<article class='post category-social'>", "</article>"),
+        ("<article class='social'>", "</article>"),
+        ("<main class='site-main widget-area'>", "</main>"),
+        ("<div class=header><div role=main>", "</div></div>"),
+        ("<div class='layout has-sidebar'>", "</div>"),
+        ("<div id='search-page'>", "</div>"),
+    ]:
+        got = pages.main_text(f"<body><nav>Home</nav>{open_}{body}{close}<div class='site-nav'>Up</div></body>", None)
+        assert got == "Title\nBody", open_
+    # Teasers and comments beside the article are not the article.
+    rest = "<div class='related'><article>Teaser</article></div><section class='comments-area'><article>Nice</article></section>"
+    assert pages.main_text(f"<div class='widget-page'>Top<article><p>Body</p></article>{rest}</div>", None) == "Top\nBody"
+    assert pages.main_text("<li class='comment'><article>Nice</article></li><p>Body</p>", None) == "Body"
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
