@@ -15,7 +15,7 @@ once. Only equality of 100 bytes is asked for, so suffixes are brought together
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +99,7 @@ def _stretches(text: bytes) -> Iterator[tuple[int, bytes]]:
             return
 
 
-def _parsed(ids: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def _parsed(ids: Sequence[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(doc id, first window, windows, trigger, phrase) of documents, parsed in pieces of about a stretch."""
     out: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, bytes]] = []
@@ -141,102 +141,132 @@ def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1]
 
 
-def _batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
+def _batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     ids: list[int] = []
+    twins: list[int] = []
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, w, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             ids.append(i)
+            twins.append(w)
             texts.append(t)
             size += len(t)
             if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, twins, texts
+                ids, twins, texts, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, twins, texts
 
 
-_PHRASE = "route bigint, phrase bigint, doc_id bigint, at bigint"
+_PHRASE = "route bigint, phrase bigint, doc_id bigint, at bigint, twin bigint"
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parse, with copies inside a chunk set aside: of equal phrases the first stands for all.
 
     ``at`` is 128 * first window + windows. With 0 windows a row is a range of bytes that repeats an earlier one of
-    the chunk: ``at`` gives its first byte, ``phrase`` its length, and ``route`` only spreads such rows.
+    the chunk: ``at`` gives its first byte, ``phrase`` its length, and ``route`` only spreads such rows. Rows with the
+    same doc_id may each have a phrase at the first one's place: none is earlier, each of them stands for itself.
     """
 
-    def rows(route, phrase, doc, at):
+    def rows(route, phrase, doc, at, twin):
         return pa.RecordBatch.from_arrays(
-            [pa.array(route.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(at)],
-            ["route", "phrase", "doc_id", "at"],
+            [pa.array(route.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(at), pa.array(twin)],
+            ["route", "phrase", "doc_id", "at", "twin"],
         )
 
-    for ids, texts in _batched(batches, CHUNK_BYTES):
-        doc, start, n, trigger, phrase = _parsed(ids, texts)
-        order = np.lexsort((start, doc, phrase))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = phrase[order][1:] == phrase[order][:-1]
-        first, again = order[~same], order[same]
-        yield rows(trigger[first], phrase[first], doc[first], start[first] * 128 + n[first])
+    for ids, twins, texts in _batched(batches, CHUNK_BYTES):
+        row, start, n, trigger, phrase = _parsed(range(len(texts)), texts)
+        id_of, twin_of = np.array(ids, dtype=np.int64), np.array(twins, dtype=np.int64)
+        order = np.lexsort((twin_of[row], start, id_of[row], phrase))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = phrase[order][1:] != phrase[order][:-1]
+        least = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first place of each phrase
+        level = (id_of[row[order]] == id_of[row[least]]) & (start[order] == start[least])
+        # Equal rows share their key, so that one of them is enough.
+        copy = np.zeros(len(order), dtype=bool)
+        copy[1:] = level[1:] & ~new[1:] & (twin_of[row[order]][1:] == twin_of[row[order]][:-1])
+        first, again = order[level & ~copy], order[~level]
+        yield rows(trigger[first], phrase[first], id_of[row[first]], start[first] * 128 + n[first], twin_of[row[first]])
         if len(again):
-            d, a, z = _spans(doc[again], start[again], start[again] + n[again] - 1 + LENGTH)
-            yield rows(mix(d.view(_U) * _U(_BASE) + a.astype(_U)), (z - a).astype(np.int64), d, a * 128)
+            r, a, z = _spans(row[again], start[again], start[again] + n[again] - 1 + LENGTH)
+            d = id_of[r]
+            yield rows(mix(d.view(_U) * _U(_BASE) + a.astype(_U)), (z - a).astype(np.int64), d, a * 128, twin_of[r])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, twin, text, id): a null id as the least number, a null text as empty, ``id`` as it came.
+
+    Equal rows have equal ranges and may share a key. Where an id stands for different texts, ``twin`` is the hash of
+    the text; a table without such ids has zeros, which take no room.
+    """
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(id_col).cast("long").alias("id"),
+        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
+    )
+    own = F.xxhash64("text")
+    mixed = rows.groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("z")).filter("a <> z")
+    twin = own if mixed.limit(1).count() else F.lit(0).cast("long")
+    return rows.select("doc_id", twin.alias("twin"), "text", "id")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop): byte ranges covered by strings of LENGTH bytes that start earlier in the corpus too,
-    by ascending id, then place. Ranges of one document may overlap. Bytes are those of the UTF-8 text."""
-    source = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("binary").alias("text")
-    ).dropna()
+    """(doc_id, twin, start, stop): byte ranges covered by strings of LENGTH bytes that start earlier in the corpus
+    too, by ascending id, then place; the same place of the same id is not earlier. Ranges of one document may overlap
+    or be repeated. Bytes are those of the UTF-8 text; ``twin`` tells rows of one id apart (``_keyed``)."""
+    return _ranges(_keyed(docs, id_col, text_col))
+
+
+def _ranges(keyed: DataFrame) -> DataFrame:
+    source = keyed.select("doc_id", "twin", "text")
     parsed = source.mapInArrow(_phrases, _PHRASE)
     occurrence = Window.partitionBy("route", "phrase").orderBy("doc_id", "at")
     trigger = Window.partitionBy("route")
     windows = F.col("at") % 128
     # One shuffle, by trigger: the second window finds the rows where the first has left them.
     known = cut(
-        parsed.withColumn("place", F.row_number().over(occurrence))
+        parsed.withColumn("place", F.rank().over(occurrence))
         .withColumn("least", F.min("phrase").over(trigger))
         .withColumn("most", F.max("phrase").over(trigger))
         .filter((windows == 0) | (F.col("place") > 1) | (F.col("least") != F.col("most")))
-        .select("phrase", "doc_id", "at", (F.col("place") > 1).alias("again"))
+        .select("phrase", "doc_id", "at", (F.col("place") > 1).alias("again"), "twin")
     )
     start = F.shiftright("at", 7)
     certain = known.filter("again OR at % 128 = 0").select(
-        "doc_id", start.alias("start"),
+        "doc_id", "twin", start.alias("start"),
         F.when(windows == 0, start + F.col("phrase")).otherwise(start + windows - 1 + LENGTH).alias("stop"),
     )
     # First occurrences of phrases that share their trigger with others: their windows are compared.
-    open_ones = known.filter("NOT again AND at % 128 > 0").select("doc_id", "at")
-    places = cut(open_ones.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("places")))
+    open_ones = known.filter("NOT again AND at % 128 > 0").select("doc_id", "twin", "at")
+    places = cut(open_ones.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("at")).alias("places")))
     total = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     side = F.broadcast(places) if total <= BROADCAST_ROWS else places
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: list[tuple[np.ndarray, ...]] = []
-            for doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, twin, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = np.frombuffer(text, dtype=np.uint8)
                 at = np.array(at, dtype=np.int64)
                 n = at & 127
                 starts = np.repeat((at >> 7) - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 if len(data) and len(starts):
                     hashed = _hashes(data, starts, starts + LENGTH, _prefix(data), powers(_UNBASE, len(data)))
-                    seen.append((hashed, np.full(len(starts), doc), starts))
+                    seen.append((hashed, np.full(len(starts), doc), starts, np.full(len(starts), twin)))
             if seen:
-                hashed, doc, starts = (np.concatenate(x) for x in zip(*seen, strict=True))
+                hashed, doc, starts, twin = (np.concatenate(x) for x in zip(*seen, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed.view(np.int64)), pa.array(doc), pa.array(starts)], ["suffix", "doc_id", "start"]
+                    [pa.array(hashed.view(np.int64)), pa.array(doc), pa.array(starts), pa.array(twin)],
+                    ["suffix", "doc_id", "start", "twin"],
                 )
 
-    found = source.join(side, "doc_id").select("doc_id", "text", "places").mapInArrow(
-        suffixes, "suffix bigint, doc_id bigint, start bigint"
+    found = source.join(side, ["doc_id", "twin"]).select("doc_id", "twin", "text", "places").mapInArrow(
+        suffixes, "suffix bigint, doc_id bigint, start bigint, twin bigint"
     )
     first = Window.partitionBy("suffix").orderBy("doc_id", "start")
-    later = found.withColumn("place", F.row_number().over(first)).filter("place > 1")
-    compared = later.select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
+    later = found.withColumn("place", F.rank().over(first)).filter("place > 1")
+    compared = later.select("doc_id", "twin", "start", (F.col("start") + LENGTH).alias("stop"))
     return certain.unionByName(compared)
 
 
@@ -256,16 +286,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; ``kept`` holds the remaining bytes.
 
     They may end or begin inside a character, so they are binary; ``texts=False`` leaves them null. A null text counts
-    as empty, a text of fewer than LENGTH bytes loses nothing. The id names a document: rows that repeat an id are not
-    compared with each other, place by place, and share their ranges. A null id comes before all others.
+    as empty, a text of fewer than LENGTH bytes loses nothing. Every row has its own ranges. Earlier means a smaller id,
+    or a smaller place in a row of the same id, so equal rows lose nothing to each other. A null id comes before all
+    others; null ids are equal.
     """
-    ranges = repeated_ranges(docs, id_col, text_col)
-    by_document = ranges.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"),
-        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
-    )
+    source = _keyed(docs, id_col, text_col)
+    by_document = _ranges(source).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +313,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 _OUT.names,
             )
 
-    return source.join(by_document, "_key", "left").select("doc_id", "text", "ranges").mapInArrow(remove, _OUT)
+    return source.join(by_document, ["doc_id", "twin"], "left").select("id", "text", "ranges").mapInArrow(remove, _OUT)
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]

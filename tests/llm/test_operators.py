@@ -422,6 +422,30 @@ def test_repeats_of_odd_tables(spark, empty):
     assert len(got) == 3 and all(r.n_removed == 0 for r in got) and {r.kept for r in got} == {b"y" * 99, b""}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeats_of_repeated_and_null_ids(spark, monkeypatch, parts):
+    """Earlier is a smaller (id, place); a null id is the least, equal (id, place) is not earlier."""
+    rng = random.Random(10)
+    a, b, c = prose(rng, 60), prose(rng, 30), prose(rng, 90)
+    rows = [(5, a), (5, a), (5, a + " end"), (6, b), (6, b), (6, prose(rng, 9) + b), (7, b[:150]), (7, c), (7, "tiny"), (8, c + a)]
+    rows += [(None, prose(rng, 40)), (None, prose(rng, 140)), (None, c[20:180]), (None, c[20:180]), (None, prose(rng, 2) + c[20:180])]
+    if parts > 1:
+        monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+    least = {}
+    for d, t in rows:
+        for p in range(len(t) - 99):
+            at = (-1 if d is None else d, p)
+            least[t[p : p + 100]] = min(at, least.get(t[p : p + 100], at))
+    want = Counter()
+    for d, t in rows:
+        gone = {q for p in range(len(t) - 99) if least[t[p : p + 100]] < (-1 if d is None else d, p) for q in range(p, p + 100)}
+        want[d, len(t), "".join(x for q, x in enumerate(t) if q not in gone)] += 1
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(parts)
+    got = repeats.without_repeats(table).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.kept.decode()) for r in got) == want
+    assert want[5, len(a), a] == 2 and want[6, len(b), b] == 2
+
+
 # ---- decontamination ---------------------------------------------------------------------------------
 
 
