@@ -110,11 +110,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     """(doc_id, text_hash, item_id, similarity): every item that a document contains, with its most similar window.
 
     Whole texts are searched. A null or empty text contains nothing. A document with fewer words than an item is one
-    window. Rows that repeat a doc_id are told apart by their text; columns other than doc_id and text are not read.
+    window. Rows that repeat a doc_id, or have none, are told apart by their text; columns other than doc_id and text are
+    not read.
     """
     items = items_of(benchmark)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    key = ["doc_id", "text_hash"]
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
+        F.xxhash64("text").alias("text_hash"), tokens(F.coalesce("text", F.lit(""))).alias("words"),
+    )
+    key = ["doc_id", "no_id", "text_hash"]  # no part is ever null
     places = cut(items.select("item", "n", "size", "weight", F.explode("shingles").alias("s")).select(
         "item", "n", "size", "weight", F.col("s.h").alias("h"), F.col("s.w").alias("w")
     ))
@@ -190,6 +194,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
         .filter(F.col("similarity") >= threshold - 1e-9)
         .groupBy(*key, "item_id")
         .agg(F.max("similarity").alias("similarity"))
+        .select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text_hash", "item_id", "similarity")
     )
 
 

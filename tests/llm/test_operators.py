@@ -527,6 +527,19 @@ def test_decontamination_of_odd_tables(spark, docs, empty):
         assert len(got) == docs.count() and all(r.kept for r in got)
 
 
+def test_decontamination_without_ids(spark):
+    rng = random.Random(12)
+    item = prose(rng, 20)
+    rows = [(None, prose(rng, 10) + " " + item), (None, prose(rng, 30)), (0, prose(rng, 12)), (None, None), (1, item)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame([(7, item)], "item_id BIGINT, text STRING")
+    got = decontamination.op8_simhash_decontamination(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_ids, r.kept) for r in got) == Counter(
+        [(None, "7", False), (None, "", True), (None, "", True), (0, "", True), (1, "7", False)]
+    )
+    assert {r.text for r in decontamination.keep_clean(docs, bench).collect()} == {rows[1][1], rows[2][1], None}
+
+
 # ---- mixing ------------------------------------------------------------------------------------------
 
 
