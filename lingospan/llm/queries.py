@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingospan.llm import decontamination, fingerprints, language, mixing, near_duplicates, pages, personal, quality, repeats, sharding
+from lingospan.llm import (
+    decontamination,
+    divergence,
+    fingerprints,
+    language,
+    mixing,
+    near_duplicates,
+    pages,
+    personal,
+    quality,
+    repeats,
+    sharding,
+)
 from lingospan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +43,7 @@ QUERIES: dict[str, Query] = {
     ),
     "op9_golden_mix": _over("documents", mixing.op9_golden_mix),
     "op10_boosted_personal_data": _over("documents", personal.op10_boosted_personal_data),
+    "op13_arrow_divergence": _over("documents", divergence.op13_arrow_divergence),
 }
 
 #: DuckDB SQL where it can express a digest; the other operators are tested against brute force.
@@ -79,4 +92,35 @@ ORACLES: dict[str, str] = {
         SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
           sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
         FROM bytes b LEFT JOIN removed r ON r.doc_id = b.doc_id""",
+    "op13_arrow_divergence": r"""
+        WITH words AS (
+          SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        counts AS (
+          SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs
+          FROM (SELECT d, lang, source, unnest(w) AS term FROM words) t GROUP BY ALL),
+        kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 10),
+        grouped AS (SELECT DISTINCT lang, source FROM words),
+        dense AS (
+          SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, k.n AS n_lang
+          FROM grouped g JOIN kept k ON g.lang = k.lang
+          LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        weighed AS (
+          SELECT *, 1 + 1000000000 * (n + 2) // (sum(n) OVER s + 2 * count(*) OVER s) AS p,
+            1 + 1000000000 * (n_lang + 2) // (sum(n_lang) OVER s + 2 * count(*) OVER s) AS q
+          FROM dense WINDOW s AS (PARTITION BY lang, source)),
+        sums AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM weighed a JOIN weighed b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+          SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+          FROM grouped g JOIN grouped h ON g.lang = h.lang AND g.source <> h.source
+          LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+          UNION ALL
+          SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM weighed WHERE n > 0 AND p > q),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM parts)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR r <= 10""",
 }
