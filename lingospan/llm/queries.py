@@ -18,6 +18,7 @@ from lingospan.llm import (
     quality,
     repeats,
     sharding,
+    whitening,
 )
 from lingospan.llm.common import read
 
@@ -43,6 +44,7 @@ QUERIES: dict[str, Query] = {
     ),
     "op9_golden_mix": _over("documents", mixing.op9_golden_mix),
     "op10_boosted_personal_data": _over("documents", personal.op10_boosted_personal_data),
+    "op11_block_whitening": _over("embeddings", whitening.op11_block_whitening),
     "op13_arrow_divergence": _over("documents", divergence.op13_arrow_divergence),
 }
 
