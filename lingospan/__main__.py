@@ -39,11 +39,11 @@ def main(argv: list[str] | None = None) -> None:
         schema = "premise STRING, hypothesis STRING"
         workflows.bulk_score(spark, args.input, schema, args.output_dir, model, args.format).show()
         return
-    scored = workflows.score_eval_split(spark, config, model)
     if args.mode == "eval":
-        workflows.report(scored, config).show(truncate=False)
+        workflows.report(workflows.score_eval_split(spark, config, model), config).show(truncate=False)
         return
-    for name, table in workflows.mine_errors(spark, scored, config).summaries.items():
+    found = workflows.mine_errors_early(spark, workflows.eval_pairs(spark, config), model, config)
+    for name, table in found.summaries.items():
         print(name)
         table.show(truncate=False)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lingospan.config import Config, work_folder
 from lingospan.functions.labels import format_accuracy, format_gap
-from lingospan.operators import encoding, errors, evaluation, pairs, scoring, transfer
+from lingospan.operators import encoding, errors, evaluation, pairs, progressive, scoring, transfer
 from lingospan.schemas import NLI_LABELS, category_dim, language_dim
 from lingospan.sources import readers, writers
 
@@ -40,13 +40,18 @@ def prepare_sets(
     return encoding.encode(train, vocabulary, **options), encoding.encode(test, vocabulary, **options)
 
 
-def score_eval_split(spark: SparkSession, config: Config, scorer, **options) -> DataFrame:
-    """Evaluation rows of all languages, scored once and stored; evaluation and error mining read the table."""
+def eval_pairs(spark: SparkSession, config: Config) -> DataFrame:
+    """Evaluation rows of all languages, with ``gold_label``."""
     _, test = pairs.train_eval_frames(
         load_pairs(spark, config), config.source_lang, config.eval_langs, config.train_split, config.eval_split
     )
+    return test.withColumnRenamed("label", "gold_label")
+
+
+def score_eval_split(spark: SparkSession, config: Config, scorer, **options) -> DataFrame:
+    """Evaluation rows of all languages, scored once and stored; evaluation and error mining read the table."""
     path = work_folder(spark, "predictions")
-    scored = scoring.score_pairs(test, scorer, **options).withColumnRenamed("label", "gold_label")
+    scored = scoring.score_pairs(eval_pairs(spark, config), scorer, **options)
     scored.write.parquet(path)
     return spark.read.schema(scored.schema).parquet(path)
 
@@ -124,6 +129,16 @@ def mine_errors(
     )
 
 
+def mine_errors_early(
+    spark: SparkSession, pairs: DataFrame, scorer, config: Config, languages: DataFrame | None = None,
+    names: Sequence[str] = NLI_LABELS,
+) -> ErrorReport:
+    """``mine_errors`` on pairs that are not scored yet: scoring stops once every language has its errors."""
+    rows = pairs.where(F.col("lang").isin(config.eval_langs))
+    scan = progressive.score_until(rows, lambda some: scoring.score_pairs(some, scorer, names), config.errors_per_language)
+    return mine_errors(spark, scan.scored, config, languages, names)
+
+
 def analyse_annotations(annotated: DataFrame) -> ErrorReport:
     """Category distribution and the two cross tables of an annotated sheet."""
     return ErrorReport(
