@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingospan.schemas import ANNOTATION_DDL, ERROR_DDL, PAIRS_DDL
+from lingospan.sources.split_csv import OPTIONS, read_split_csv
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -85,17 +86,14 @@ def read_json_errors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with header and quoted line breaks; only an empty field is NULL."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    """CSV with header and quoted line breaks, read in splits; only an empty field is NULL."""
+    return read_split_csv(spark, path, schema)
+
+
+def read_csv_whole(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The same rows with one task for each file."""
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True)
+    return reader.options(**OPTIONS).csv(path)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
