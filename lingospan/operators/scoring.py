@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -62,6 +63,11 @@ def score_pipeline(df: DataFrame, model: PipelineModel, names: Sequence[str] = N
     return _predictions(scored, F.array(*values), values, names).drop("_probs")
 
 
+def model_key(loader: ModelLoader) -> str:
+    """The same for loaders that are pickled alike, whatever call they come with."""
+    return hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()
+
+
 def score_callable(
     df: DataFrame,
     loader: ModelLoader,
@@ -70,46 +76,54 @@ def score_callable(
     hypothesis: str | None = "hypothesis",
     batch_size: int = BATCH_SIZE,
     timed: bool = False,
+    weight: float = 1.0,
 ) -> DataFrame:
     """Score with a user's model: loaded once per Python worker, called on ``batch_size`` texts at a time.
 
     Rows whose status is not ``ok`` are not sent to the model. A batch on which the model raises gets the
     status ``error`` and the message in ``error``; the job goes on. ``timed`` adds ``latency_ms``, the
     time of the batch divided by its rows.
+
+    Only the texts and the status travel to Python. A worker holds several models at a time, known by their pickled
+    loaders, as long as their ``weight`` fits (``worker.CAPACITY``): two models used in turn are loaded once each.
     """
     if "status" not in df.columns:
         df = df.withColumn("status", F.lit("ok"))
-    extra = "logits ARRAY<DOUBLE>, error STRING" + (", latency_ms DOUBLE" if timed else "")
-    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(extra).fields])
-    num_classes = len(names)
-    key = uuid.uuid4().hex
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = kept("model", key, loader)
-        for pdf in batches:
-            logits = np.empty(len(pdf), dtype=object)
-            errors = np.full(len(pdf), None, dtype=object)
-            spent = np.full(len(pdf), np.nan)
-            valid = np.flatnonzero((pdf["status"] == "ok").to_numpy())
+    num_classes, pair, key = len(names), hypothesis is not None, model_key(loader)
+
+    @F.pandas_udf("logits ARRAY<DOUBLE>, error STRING, latency_ms DOUBLE")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        model = kept(("model", key), loader, weight)
+        for status, first, *second in batches:
+            n = len(status)
+            values = np.full((n, num_classes), np.nan)
+            scored = np.zeros(n, dtype=bool)
+            errors, spent = np.full(n, None, dtype=object), np.full(n, np.nan)
+            valid = np.flatnonzero((status == "ok").to_numpy())
             for start in range(0, len(valid), batch_size):
                 rows = valid[start : start + batch_size]
                 began = time.perf_counter()
                 try:
-                    second = None if hypothesis is None else pdf[hypothesis].iloc[rows]
-                    values = np.asarray(model(pdf[premise].iloc[rows], second), dtype=float)
-                    if values.shape != (len(rows), num_classes):
-                        raise ValueError(f"model gave shape {values.shape}")
+                    found = np.asarray(model(first.iloc[rows], second[0].iloc[rows] if pair else None), dtype=float)
+                    if found.shape != (len(rows), num_classes):
+                        raise ValueError(f"model gave shape {found.shape}")
                 except Exception as problem:
                     errors[rows] = str(problem)
                 else:
-                    for row, value in zip(rows, values):
-                        logits[row] = value
+                    values[rows], scored[rows] = found, True
                 spent[rows] = (time.perf_counter() - began) * 1000 / len(rows)
-            out = pdf.assign(logits=logits, error=errors)
-            out["status"] = out["status"].where(out["error"].isna(), "error")
-            yield out.assign(latency_ms=spent) if timed else out
-
-    scored = df.mapInPandas(score, schema)
+            logits = pd.Series(list(values), dtype=object).where(scored, None)
+            yield pd.DataFrame({"logits": logits, "error": errors, "latency_ms": spent})
+
+    # Evaluated once, and not again inside a filter on what it gives.
+    texts = [F.col(c) for c in (premise, hypothesis) if c is not None]
+    scored = df.withColumn("_scored", score.asNondeterministic()(F.col("status"), *texts))
+    added = {"error": F.col("_scored.error"), "status": F.when(F.col("_scored.error").isNull(), F.col("status")).otherwise("error")}
+    if timed:
+        # A row that was not sent to the model has no time.
+        spent = F.col("_scored.latency_ms")
+        added["latency_ms"] = F.when(~F.isnan(spent), spent)
+    scored = scored.withColumn("logits", F.col("_scored.logits")).withColumns(added).drop("_scored")
     values = vectors.class_columns("logits", num_classes)
     return _predictions(scored, vectors.softmax(values), values, names).drop("logits")
 

@@ -1,12 +1,15 @@
 import math
 import random
+import re
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from lingospan.functions import worker
 from lingospan.operators import evaluation, history, scoring, transfer
 from lingospan.schemas import language_dim, literal_frame
 
@@ -161,20 +164,70 @@ def test_compare_models_counts_missing_predictions(spark):
     assert en.accuracy_delta == 0 and got[None].missing_b == 1 and got[None].only_a == 1
 
 
-def test_model_is_loaded_once_per_worker(spark, tmp_path):
-    folder = str(tmp_path)
+def counting_loader(folder, name):
+    """A loader that leaves a file named after itself and its process for every load."""
 
     def loader():
         import os
         import uuid
 
-        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        open(os.path.join(folder, f"{name}-{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
         return lambda a, b: [[0.0, 1.0, 2.0]] * len(a)
 
+    return loader
+
+
+def loads(folder):
+    """Loads of each model in each process."""
+    return Counter(tuple(f.name.split("-")[:2]) for f in folder.iterdir())
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    df = spark.range(0, 200, numPartitions=20).selectExpr("id AS example_id", "'a' AS premise", "'b' AS hypothesis")
+    for _ in range(3):  # the same model in other calls
+        assert scoring.score_callable(df, counting_loader(str(tmp_path), "one")).where("predicted_label = 2").count() == 200
+    assert loads(tmp_path) and max(loads(tmp_path).values()) == 1
+
+
+def test_models_used_in_turn_are_loaded_once_each(spark, tmp_path):
     df = spark.range(0, 200, numPartitions=20).selectExpr("id AS example_id", "'a' AS premise", "'b' AS hypothesis")
-    assert scoring.score_callable(df, loader).count() == 200
-    scoring.score_callable(df, loader).write.format("noop").mode("overwrite").save()
-    assert 1 <= len(list(tmp_path.iterdir())) <= 2 * spark.sparkContext.defaultParallelism
+    for _ in range(3):
+        for name in ("one", "two", "three"):
+            scored = scoring.score_callable(df, counting_loader(str(tmp_path), name))
+            assert scored.where("predicted_label = 2").count() == 200
+    assert {name for name, _ in loads(tmp_path)} == {"one", "two", "three"} and max(loads(tmp_path).values()) == 1
+
+
+def test_worker_keeps_what_fits():
+    made = []
+
+    def value(key, weight=1.0):
+        return worker.kept(key, lambda: made.append(key) or key, weight, 3.0)
+
+    before = worker.registry().copy()
+    worker.registry().clear()
+    try:
+        assert [value(k) for k in "abcabca"] == list("abcabca") and made == list("abc")
+        value("d")  # b is the least recently used
+        assert list(worker.registry()) == ["c", "a", "d"]
+        value("large", 9.0)
+        assert list(worker.registry()) == ["large"]
+        value("a"), value("b", 2.0)
+        assert list(worker.registry()) == ["a", "b"]
+    finally:
+        worker.registry().clear()
+        worker.registry().update(before)
+
+
+def test_only_texts_travel_to_python(spark):
+    df = spark.range(10).selectExpr("id", "'a' AS premise", "'b' AS hypothesis", "repeat('x', 1000) AS wide", "array(id) AS more")
+    scored = scoring.score_callable(df, counting_loader("/nowhere", "x"), timed=True)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"ArrowEvalPython \[score\(([^)]*)\)", plan)
+    assert sent == ["ok, a, b"] and "MapInPandas" not in plan
+    filtered = scored.where("status = 'ok' AND latency_ms > 0")
+    assert filtered._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {"wide", "more", "id", "latency_ms", "error"} <= set(scored.columns)
 
 
 def test_typology(spark):
