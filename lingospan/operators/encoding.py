@@ -11,11 +11,11 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lingospan.config import PAIR_MAX_LENGTH
+from lingospan.config import PAIR_MAX_LENGTH, work_folder
 from lingospan.functions import text
 from lingospan.functions.multilingual import language_text
 from lingospan.functions.worker import kept
@@ -74,6 +74,10 @@ def _all_words(counts: DataFrame) -> DataFrame:
 
 # Bytes of words, with eight more for each, that a vocabulary on the driver and in every worker may take.
 MAX_BYTES = 256 << 20
+# Bytes of words whose index weighs as much as a model among what a worker keeps.
+INDEX_BYTES = 64 << 20
+# Rows whose distinct words are looked up together when the vocabulary is not broadcast.
+LOOKUP_ROWS = 4096
 
 
 class Vocabulary:
@@ -133,6 +137,10 @@ class Vocabulary:
 
         return lookup(tokens)
 
+    def attach_ids(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Replace columns of tokens by columns of ids."""
+        return rows.select(*[self.ids_of(F.col(c)).alias(c) if c in columns else c for c in rows.columns])
+
     def words_of(self, ids: Column) -> Column:
         """Tokens of an ARRAY<INT>; ids outside the vocabulary give ``<unk>``."""
         shared, specials, unknown = self._shared, list(SPECIAL_TOKENS), UNK
@@ -147,9 +155,50 @@ class Vocabulary:
         return lookup(ids)
 
 
+class VocabularyTable:
+    """A fitted vocabulary of any size, as a table of (token_id, word) that is never collected or broadcast.
+
+    Words are found by a join. So that a word in most texts is no hot key, rows are taken in blocks of
+    ``LOOKUP_ROWS``: the join has each word once per block, and the block's words then come back to its rows.
+    """
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame.select("word", F.col("token_id").cast("int").alias("token_id"))
+
+    def attach_ids(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Replace columns of tokens by columns of ids; unknown words give ``<unk>``.
+
+        The rows are stored first. A block is a run of rows of a stored file, so its size is bounded whatever the
+        rows hold, and a repeated task finds the same blocks.
+        """
+        spark, columns, unknown = rows.sparkSession, list(columns), UNK
+        path = work_folder(spark, "tokens")
+        rows.write.parquet(path)
+        block = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {LOOKUP_ROWS}"))
+        blocks = spark.read.schema(rows.schema).parquet(path).select("*", block.alias("_block"))
+        listed = F.array_distinct(F.concat(*columns))
+        words = blocks.select("_block", F.explode(listed).alias("word")).distinct()
+        found = words.join(self.frame, "word").select("_block", "word", "token_id").toDF("_of", "_word", "_id")
+
+        def lookup(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = left.drop_columns(["_block"])
+            known, ids = right["_word"].combine_chunks(), right["_id"].combine_chunks()
+            for c in columns:
+                tokens = pa.chunked_array(left[c], left.schema.field(c).type).combine_chunks()
+                places = pc.index_in(tokens.flatten(), value_set=known)
+                listed = pa.ListArray.from_arrays(_offsets(tokens), pc.fill_null(ids.take(places), unknown))
+                out = out.set_column(out.schema.get_field_index(c), c, listed)
+            return out
+
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        schema = ", ".join(f"`{c}` {'array<int>' if c in columns else kind}" for c, kind in kinds.items())
+        return blocks.groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(lookup, schema)
+
+
 def _index_of(shared: Broadcast, key: str) -> dict[str, int]:
     """Places of the words of a broadcast vocabulary, made once in a Python worker."""
-    return kept("vocabulary", key, lambda: {w: i for i, w in enumerate(shared.value.to_pylist())})
+    weight = shared.value.nbytes / INDEX_BYTES
+    return kept(("vocabulary", key), lambda: {w: i for i, w in enumerate(shared.value.to_pylist())}, weight)
 
 
 def _offsets(lists: pa.Array) -> pa.Array:
@@ -180,7 +229,7 @@ def _kept_tokens(c: Column, budget: int, tokenizer: Tokenizer) -> Column:
 
 def encode(
     df: DataFrame,
-    vocabulary: Vocabulary,
+    vocabulary: Vocabulary | VocabularyTable,
     first: str = "premise",
     second: str | None = "hypothesis",
     max_length: int = PAIR_MAX_LENGTH,
@@ -195,7 +244,9 @@ def encode(
     """``keep`` columns, ``input_ids``, ``attention_mask`` and ``labels``; all other columns are dropped.
 
     ``padding`` is ``max_length``, ``none``, or ``longest``: up to the longest row of the whole frame, or
-    of each ``batch`` when a batch column is given. ``lang`` selects the language of multilingual columns.
+    of each ``batch`` when a batch column is given. For the longest of the frame the ids are stored, so that the width is
+    known without encoding twice. ``lang`` selects the language of multilingual columns. A ``Vocabulary`` is broadcast
+    and needs no shuffle; a ``VocabularyTable`` is joined.
     """
     if padding not in PADDINGS:
         raise ValueError(f"padding must be one of {PADDINGS}")
@@ -206,9 +257,9 @@ def encode(
     listed = {c: _kept_tokens(language_text(df, c, lang or "", missing), budget, tokenizer) for c in texts}
     carried = [*keep, *([batch] if batch and batch not in keep else [])]
     labels = [F.col(label).alias("labels")] if label else []
-    rows = df.select(
-        *carried, *labels, *[vocabulary.ids_of(listed[c]).alias(f"_{i}") for i, c in enumerate(texts)]
-    )
+    parts = [f"_{i}" for i in range(len(texts))]
+    rows = df.select(*carried, *labels, *[listed[c].alias(p) for c, p in zip(texts, parts)])
+    rows = vocabulary.attach_ids(rows, parts)
     if second is None:
         body = F.concat(_ids(BOS), F.slice("_0", 1, budget), _ids(EOS))
     else:
@@ -225,7 +276,8 @@ def encode(
     elif batch:
         width = F.max(length).over(Window.partitionBy(batch))
     else:
-        width = rows.agg(F.max(length)).scalar()
+        rows, longest = _stored_with_longest(rows)
+        width = F.lit(longest)
     rows = rows.withColumn("_pad", width - length)
     return rows.select(
         *keep,
@@ -237,6 +289,14 @@ def encode(
     )
 
 
+def _stored_with_longest(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows as a stored table, and the largest size of ``_ids``, taken while they were written."""
+    spark, longest = rows.sparkSession, Observation()
+    path = work_folder(spark, "encoded")
+    rows.observe(longest, F.max(F.size("_ids")).alias("size")).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), longest.get["size"] or 0
+
+
 def encode_paraphrase(df: DataFrame, vocabulary: Vocabulary, **options) -> DataFrame:
     """Encode a (sentence1, sentence2, label) table."""
     return encode(df, vocabulary, **{"first": "sentence1", "second": "sentence2", "keep": ("id",), **options})

@@ -501,3 +501,6 @@ _DECODED = r"""SELECT example_id, string_agg(tok, ' ' ORDER BY pos) AS tokens FR
           FROM (SELECT example_id, CAST(string_split(input_ids, ' ') AS INTEGER[]) AS ids FROM ({encoded}) e) s) t
     LEFT JOIN vocab v ON v.token_id = t.id) x GROUP BY example_id"""
 ORACLES["decode_ids"] = _with_views(_DECODED.replace("{encoded}", ORACLES["encode_pairs"]))
+ORACLES["error_records_progressive"] = ORACLES["error_records"]
+ORACLES["rows_checked_progressive"] = ORACLES["rows_checked"]
+ORACLES["encode_shuffled"] = ORACLES["encode_pairs"]

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lingospan.config import PAIR_MAX_LENGTH, TOKEN_SEQUENCE_MAX_LENGTH, work_folder
 from lingospan.functions import labels, multilingual, text, vectors
-from lingospan.operators import encoding, errors, evaluation, history, ordering, pairs, profiling, scoring, transfer
+from lingospan.operators import encoding, errors, evaluation, history, ordering, pairs, profiling, progressive, scoring, transfer
 from lingospan.plans import fixtures as fx
 from lingospan.schemas import NER_LABELS, NLI_LABELS, category_dim, language_dim
 from lingospan.sources import ingest, readers, registry, writers
@@ -397,6 +397,20 @@ def error_records(spark, sf_dir):
     return _flat_records(errors.collect_errors(fx.nli_predictions(spark, sf_dir), language_dim(spark)))
 
 
+@query
+def error_records_progressive(spark, sf_dir):
+    """The same records without scoring every pair: ranges of ids are scored until each language has its errors."""
+    scan = progressive.score_until(fx.nli_logits(spark, sf_dir), lambda rows: scoring.score_logits(rows, fx.LOGITS_A))
+    return _flat_records(errors.collect_errors(scan.scored, language_dim(spark)))
+
+
+@query
+def rows_checked_progressive(spark, sf_dir):
+    """Rows visited until the last error needed, counted on the scored ranges alone."""
+    scan = progressive.score_until(fx.nli_logits(spark, sf_dir), lambda rows: scoring.score_logits(rows, fx.LOGITS_A))
+    return errors.rows_checked(scan.scored, LANGUAGES)
+
+
 @query
 def union_language_errors(spark, sf_dir):
     """Per-language error lists collected separately and appended."""
@@ -658,10 +672,24 @@ def fit_vocab_all(spark, sf_dir):
     return fitted.select(big("token_id").alias("token_id"), "word", "n")
 
 
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.select_rows(fx.pairs_long(spark, sf_dir), "train", ["en"])
+
+
+#: Where the fitted vocabulary of (application, data) is stored.
+SAVED: dict[tuple[str, str], str] = {}
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> encoding.Vocabulary:
-    """Fitted on the training rows of the source language."""
-    train = pairs.select_rows(fx.pairs_long(spark, sf_dir), "train", ["en"])
-    return encoding.Vocabulary.fit(train, ["premise", "hypothesis"], VOCABULARY_SIZE)
+    """Fitted on the training rows of the source language; saved by the first query that needs it, loaded by others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in SAVED:
+        fitted = encoding.Vocabulary.fit(_training_rows(spark, sf_dir), ["premise", "hypothesis"], VOCABULARY_SIZE)
+        path = work_folder(spark, "vocabulary")
+        fitted.save(path)
+        SAVED[key] = path
+        return fitted
+    return encoding.Vocabulary.load(spark, SAVED[key])
 
 
 def _encoded(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -683,6 +711,13 @@ def encode_pairs(spark, sf_dir):
     return _flat_ids(_encoded(spark, sf_dir))
 
 
+@query
+def encode_shuffled(spark, sf_dir):
+    """The same ids from a vocabulary that is joined instead of broadcast."""
+    fitted = encoding.fit_vocabulary(_training_rows(spark, sf_dir), ["premise", "hypothesis"], VOCABULARY_SIZE)
+    return _flat_ids(encoding.encode(fx.pairs_long(spark, sf_dir), encoding.VocabularyTable(fitted)))
+
+
 @query
 def encode_nopad(spark, sf_dir):
     return _flat_ids(_encoded(spark, sf_dir, padding="none"))

@@ -144,3 +144,61 @@ def test_paraphrase_and_shapes(spark, vocabulary):
     shapes = {r.column: (r.rows, r.min_size, r.max_size) for r in profiling.array_shapes(encoded, ["input_ids", "attention_mask"]).collect()}
     assert shapes == {"input_ids": (2, 16, 16), "attention_mask": (2, 16, 16)}
     assert [tuple(r) for r in profiling.feature_types(encoded).collect()][1] == (1, "input_ids", "array<int>")
+
+
+@pytest.fixture
+def table(spark):
+    words = [[4 + i, w] for i, w in enumerate(WORDS[:20])]
+    return encoding.VocabularyTable(literal_frame(spark, words, "token_id INT, word STRING"))
+
+
+@pytest.mark.parametrize("padding", ["max_length", "none", "longest"])
+@pytest.mark.parametrize("block", [4096, 7])
+def test_joined_vocabulary_gives_the_same(spark, vocabulary, table, monkeypatch, padding, block):
+    monkeypatch.setattr(encoding, "LOOKUP_ROWS", block)
+    rows = [*rows_for(120, 3), [500, None, "", 1], [501, "unseen words only", None, None], *[[502, "w1 " * 40, "w1", 0]] * 30]
+    df = literal_frame(spark, rows, DDL).repartition(3)
+    want = encoding.encode(df, vocabulary, max_length=20, padding=padding).collect()
+    got = encoding.encode(df, table, max_length=20, padding=padding).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 152
+
+
+def test_joined_vocabulary_keeps_other_columns(spark, vocabulary, table):
+    df = literal_frame(spark, rows_for(20, 5), DDL).withColumn("word", F.lit("clash")).withColumn("at", F.array(F.struct(F.lit(1).alias("x"))))
+    options = {"second": None, "first": "premise", "keep": ("example_id", "word", "at")}
+    got, want = (encoding.encode(df, v, **options).collect() for v in (table, vocabulary))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_joined_vocabulary_of_nothing(spark, table):
+    assert encoding.encode(literal_frame(spark, [], DDL), table).collect() == []
+    empty = encoding.VocabularyTable(literal_frame(spark, [], "token_id INT, word STRING"))
+    (row,) = encoding.encode(literal_frame(spark, [[1, "a b", "", 0]], DDL), empty, padding="none").collect()
+    assert row.input_ids == [BOS, UNK, UNK, EOS, EOS, EOS]
+
+
+def test_joined_vocabulary_is_not_broadcast(spark, table):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = encoding.encode(literal_frame(spark, rows_for(20, 5), DDL), table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan
+
+
+def test_longest_of_the_call_encodes_once(spark, vocabulary):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        seen.add(1)
+        return text.split()
+
+    df = literal_frame(spark, rows_for(50, 8), DDL)
+    got = encoding.encode(df, vocabulary, padding="longest", tokenizer=lambda c: split.asNondeterministic()(c))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    widths = {len(r.input_ids) for r in got.collect()}
+    assert len(widths) == 1 and widths == {max(sum(r.attention_mask) for r in got.collect())}
+    assert seen.value == 100 and "Python" not in plan
+    empty = encoding.encode(literal_frame(spark, [], DDL), vocabulary, padding="longest")
+    assert empty.collect() == []
