@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingospan.llm.common import compact, cut
+from lingospan.llm.common import compact, cut, fresh
 from lingospan.llm.shingles import mix, pieces, shingle_sets
 
 #: Values of a signature, trees, and values that a region agrees on. A pair with a similarity of 0.8 shares a region
@@ -30,6 +30,11 @@ VALUES, TREES, REGION = 128, 24, 4
 SLACK = 0.14
 #: Neighbours compared in the first round; later rounds take eight times as many.
 NEIGHBOURS = 1
+#: Trees at which the passes of the first round end. The first trees link most of a large group of near copies, so that
+#: the others need not pair its documents again.
+PASSES = (2, 6, TREES)
+#: Buckets of a histogram of shingles.
+BUCKETS = 128
 #: Rows up to which a table of ids is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -110,17 +115,41 @@ def _regions(classes: DataFrame) -> DataFrame:
                 )
 
     planted = classes.select("rep", "signature").mapInArrow(plant, "region bigint, rep bigint, tree int")
-    return planted.withColumn("rows", F.count("*").over(Window.partitionBy("region"))).filter("rows > 1").drop("rows")
+    # Counted by an aggregate, which combines before the shuffle, however many classes a region has.
+    shared = planted.groupBy("region").agg(F.count("*").alias("rows")).filter("rows > 1").select("region")
+    return planted.join(shared, "region", "left_semi")
 
 
-def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float) -> DataFrame:
+def _histograms(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, n, counts) of each class in a region: its shingles, and how many fall into each of BUCKETS by their hash.
+
+    The intersection of two sets is at most the sum of the smaller counts. So texts of one template that are not alike
+    enough need not be compared, and no link is lost.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            bucket = (lists.flatten().to_numpy().view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            counts = np.bincount(owner * BUCKETS + bucket, minlength=len(sizes) * BUCKETS).astype(np.uint32)
+            rows = [row.tobytes() for row in counts.reshape(-1, BUCKETS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(rows, pa.binary())], ["rep", "n", "counts"])
+
+    inside = sets.join(regions.select("rep").distinct(), "rep", "left_semi")
+    return inside.select("rep", "hashes").mapInArrow(count, "rep bigint, n bigint, counts binary")
+
+
+def _candidates(regions: DataFrame, parts: DataFrame, reach: int, percent: int) -> DataFrame:
     """(a, b): pairs of one region and different components, each document with its ``reach`` next ones in the order
-    that belong to another component, where the signatures agree on ``least`` of their values.
+    that belong to another component, where the signatures agree on nearly ``percent`` of their values.
 
-    Beyond the nearest neighbours a pair is taken in the first tree that has it in a region, and in no other.
+    Beyond the nearest neighbours ``parts`` has histograms, which must leave room for a link, and a pair is taken in the
+    first tree that has it in a region, and in no other.
     """
-    heads = _ORDERS[:, :REGION]
-    everywhere = reach == NEIGHBOURS
+    nearby, least = reach == NEIGHBOURS, percent / 100 - SLACK
+    heads, extra = _ORDERS[:, :REGION], [] if nearby else ["n", "counts"]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,54 +159,90 @@ def _candidates(regions: DataFrame, parts: DataFrame, reach: int, least: float)
             path = np.take_along_axis(signed, _ORDERS[batch.column(2).to_numpy()], axis=1).astype(">u4")
             path = [row.tobytes() for row in path[:, REGION : REGION + 16]]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in (0, 1, 3, 2)), pa.array(path, pa.binary()), batch.column(4)],
-                ["region", "rep", "part", "tree", "path", "signature"],
+                [*(batch.column(i) for i in (0, 1, 3, 2)), pa.array(path, pa.binary()), *batch.columns[4:]],
+                ["region", "rep", "part", "tree", "path", "signature", *extra],
             )
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by region and path. The last row of another component before a row is the one before its run of
+        # rows of one component; so a batch needs that row and the last row of the batch before it.
+        carried: list[np.ndarray] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = [batch.column(i).to_numpy() for i in (0, 1, 2)]
+            rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint32).reshape(-1, VALUES))
+            known = 0
+            if carried is not None:
+                known = len(carried[0])
+                rows = [np.concatenate((c, r)) for c, r in zip(carried, rows, strict=True)]
+            region, rep, part, signed = rows
+            n = len(region)
+            new = np.ones(n, dtype=bool)
+            new[1:] = (region[1:] != region[:-1]) | (part[1:] != part[:-1])
+            before = np.maximum.accumulate(np.where(new, np.arange(n), 0)) - 1
+            met = np.flatnonzero((before >= 0) & (region[before] == region))
+            met = met[met >= known]
+            met = met[(signed[met] == signed[before[met]]).mean(axis=1) >= least]
+            pairs = [rep[met], rep[before[met]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*pairs)), pa.array(np.maximum(*pairs))], ["a", "b"])
+            kept = [n - 1] if before[-1] < 0 or region[before[-1]] != region[-1] else [before[-1], n - 1]
+            carried = [r[kept] for r in rows]
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by region and path. Only the rows that later ones may still be compared with are held.
+        # Only the rows that later ones may still be compared with are held.
         last: int | None = None
-        held: list[tuple[int, int, np.ndarray]] = []
+        held_rep = held_part = held_n = np.zeros(0, np.int64)
+        held, held_counts = np.zeros((0, VALUES), np.uint32), np.zeros((0, BUCKETS), np.uint32)
+        m = 0
         for batch in batches:
-            left: list[int] = []
-            right: list[int] = []
+            left: list[np.ndarray] = [np.zeros(0, np.int64)]
+            right: list[np.ndarray] = [np.zeros(0, np.int64)]
             signed = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
-            rows = zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
-            for i, (region, rep, part, tree) in enumerate(rows):
+            rows = zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 6)), strict=True)
+            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint32).reshape(-1, BUCKETS)
+            for i, (region, rep, part, tree, n) in enumerate(rows):
                 if region != last:
-                    last, held = region, []
-                met = 0
-                keep: list[tuple[int, int, np.ndarray]] = []
-                others = 0
-                for back in reversed(held):
-                    if back[1] != part:
-                        if met >= reach:
-                            break
-                        met += 1
-                        same = back[2] == signed[i]
-                        if same.mean() >= least and (everywhere or same[heads].all(axis=1).argmax() == tree):
-                            left.append(min(rep, back[0]))
-                            right.append(max(rep, back[0]))
-                held.append((rep, part, signed[i]))
+                    last, m = region, 0
+                others = np.flatnonzero(held_part[:m] != part)[-reach:]
+                if len(others):
+                    same = held[others] == signed[i]
+                    alike = np.flatnonzero(same.mean(axis=1) >= least)
+                    alike = others[alike[same[alike][:, heads].all(axis=2).argmax(axis=1) == tree]]
+                    room = np.minimum(held_counts[alike], counts[i]).sum(axis=1, dtype=np.int64)
+                    found = held_rep[alike[100 * room >= percent * (held_n[alike] + n - room)]]
+                    left.append(np.minimum(found, rep))
+                    right.append(np.maximum(found, rep))
+                if m == len(held):
+                    grown = (np.concatenate((h, np.zeros(m + 64, np.int64))) for h in (held_rep, held_part, held_n))
+                    held_rep, held_part, held_n = grown
+                    held, held_counts = (np.concatenate((h, np.zeros((m + 64, h.shape[1]), np.uint32))) for h in (held, held_counts))
+                held_rep[m], held_part[m], held_n[m], held[m], held_counts[m] = rep, part, n, signed[i], counts[i]
+                m += 1
                 # A row leaves once ``reach`` rows of each of two components, or as many others, have come after it.
-                if len(held) > 4 * reach + 64:
+                if m > 4 * reach + 64:
                     count: dict[int, int] = {}
-                    for back in reversed(held):
-                        others = sum(count.values()) - count.get(back[1], 0)
-                        if count.get(back[1], 0) < reach and (others < reach or len(count) < 2):
+                    keep = []
+                    for back in range(m - 1, -1, -1):
+                        own = count.get(held_part[back], 0)
+                        if own < reach and (m - 1 - back - own < reach or len(count) < 2):
                             keep.append(back)
-                        count[back[1]] = count.get(back[1], 0) + 1
-                    held = keep[::-1]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
+                        count[held_part[back]] = own + 1
+                    keep.reverse()
+                    m = len(keep)
+                    for kept in (held_rep, held_part, held_n, held, held_counts):
+                        kept[:m] = kept[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    kinds = "" if nearby else ", n bigint, counts binary"
     return (
         regions.select("region", "rep", "tree")
         .join(parts, "rep")
-        .select("region", "rep", "tree", "part", "signature")
-        .mapInArrow(order, "region bigint, rep bigint, part bigint, tree int, path binary, signature binary")
+        .select("region", "rep", "tree", "part", "signature", *extra)
+        .mapInArrow(order, "region bigint, rep bigint, part bigint, tree int, path binary, signature binary" + kinds)
         .repartition("region")
         .sortWithinPartitions("region", "path", "rep")
-        .mapInArrow(pair, "a bigint, b bigint")
+        .mapInArrow(nearest if nearby else pair, "a bigint, b bigint")
         .distinct()
     )
 
@@ -252,16 +317,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = texts.mapInArrow(hash_sets, "rep bigint, hashes array<bigint>")
     sets = cut(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")))
     reach = NEIGHBOURS
+    room = None
     while count:
-        found = cut(_confirmed(_candidates(regions, parts, reach, percent / 100 - SLACK), sets, percent))
-        links = found.count()
-        if links:
-            found = compact(found, links)
-            ends = parts.select("rep", "part")
-            joined = found.join(ends.toDF("a", "p"), "a").join(ends.toDF("b", "q"), "b").select("p", "q").toDF("a", "b")
-            moved = components(joined).toDF("part", "to")
-            parts = parts.join(moved, "part", "left").select("rep", "signature", F.coalesce("to", "part").alias("part"))
-            parts = cut(compact(parts, size, 50_000))
+        if reach > NEIGHBOURS and room is None:
+            room = cut(_histograms(regions, sets))
+        for first, end in zip((0, *PASSES), PASSES, strict=False) if reach == NEIGHBOURS else [(0, TREES)]:
+            some = regions if (first, end) == (0, TREES) else regions.filter(f"tree >= {first} AND tree < {end}")
+            known = parts if room is None else parts.join(room, "rep")
+            found = cut(_confirmed(_candidates(some, known, reach, percent), sets, percent))
+            links = found.count()
+            if links:
+                found = compact(found, links)
+                ends = parts.select("rep", "part")
+                joined = found.join(ends.toDF("a", "p"), "a").join(ends.toDF("b", "q"), "b").select("p", "q").toDF("a", "b")
+                moved = components(joined).toDF("part", "to")
+                parts = parts.join(moved, "part", "left").select("rep", "signature", F.coalesce("to", "part").alias("part"))
+                parts = cut(compact(parts, size, 50_000))
         open_regions = (
             regions.join(parts.select("rep", "part"), "rep").groupBy("region")
             .agg(F.count("*").alias("rows"), F.min("part").alias("least"), F.max("part").alias("most"))
@@ -282,9 +353,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents of a component other than the one that names it; all columns stay."""
-    dropped = near_duplicates(docs, words, percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """One row of ``docs`` of each component, that with the least doc_id, a null one last; all columns stay.
+
+    Rows are told apart by doc_id and text, so a row that shares its doc_id with another text is judged by its own. Of
+    rows equal in both one stays. Rows without words are linked with nothing and all stay, equal ones too.
+    """
+    (key,) = fresh(docs, "_row")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = cut(near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent))
+    ids = keyed.select(F.col(key).alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
+    linked = found.filter("n_shingles > 0").select("doc_id", "component_id").distinct().join(ids, "doc_id")
+    least = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least"))
+    # Rows whose hashes meet by chance both stay if either does.
+    marks = found.groupBy("doc_id").agg(F.min("n_shingles").alias("n"), F.count("*").alias("rows")).join(
+        least.select(F.col("least.doc_id").alias("doc_id"), F.lit(True).alias("first")).distinct(), "doc_id", "left"
+    )
+    marks = cut(marks.filter("first OR n = 0").select(F.col("doc_id").alias(key), (F.col("n") > 0).alias(f"{key}_one"), "rows"))
+    stay = keyed.join(marks.select(key), key, "left_semi")
+    again = marks.filter(f"{key}_one AND rows > 1").select(key)
+    if again.isEmpty():
+        return stay.drop(key)
+    # dropDuplicates combines before the shuffle, so that a text that many rows share comes once from each task.
+    repeated = stay.join(again, key, "left_semi").dropDuplicates([key])
+    return stay.join(again, key, "left_anti").unionByName(repeated).drop(key)
 
 
 def op2_forest_components(docs: DataFrame) -> DataFrame:

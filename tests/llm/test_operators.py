@@ -164,7 +164,37 @@ def test_near_duplicates_of_odd_tables(spark, empty):
     rows = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "y"), (None, "a b c d e", "z")], "doc_id BIGINT, text STRING, part STRING")
     assert {r.component_id for r in near_duplicates.near_duplicates(rows).collect()} == {1}
     kept = near_duplicates.keep_one(rows)
-    assert kept.columns == rows.columns and kept.count() == 3
+    assert kept.columns == rows.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = "a b c d e f g h", "quite another text with words of its own"
+    rows = [(1, text), (2, text), (2, other), (2, None), (2, None), (5, "w " * 9), (5, "w " * 9), (None, text), (None, "x y z"), (None, "x y z"), (7, " "), (None, "")]
+    docs = spark.createDataFrame([(*r, i, "r") for i, r in enumerate(rows)], "doc_id BIGINT, text STRING, rows INT, _row STRING").repartition(3)
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter({(1, text): 1, (2, other): 1, (2, None): 2, (5, "w " * 9): 1, (None, "x y z"): 1, (7, " "): 1, (None, ""): 1})
+
+
+def test_a_large_group_is_paired_in_few_trees(spark, monkeypatch):
+    rng = random.Random(12)
+    words = prose(rng, 200).split()
+    near = [" ".join(w if i != k else f"new{k}" for i, w in enumerate(words)) for k in range(200)]
+    docs = documents(spark, near)
+    asked = []
+    whole = near_duplicates._confirmed
+    monkeypatch.setattr(near_duplicates, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or whole(pairs, *rest))
+    assert {r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == {0}
+    assert sum(asked) < near_duplicates.TREES * len(near) / 5
+
+
+def test_a_family_that_is_never_linked(spark):
+    # Texts that share four fifths of their words, but are not alike enough.
+    rng = random.Random(13)
+    shared = prose(rng, 80)
+    docs = documents(spark, [f"{shared} {prose(rng, 18)}" for _ in range(300)])
+    assert all(r.doc_id == r.component_id for r in near_duplicates.near_duplicates(docs).collect())
 
 
 # ---- pages -------------------------------------------------------------------------------------------
