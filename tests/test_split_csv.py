@@ -3,10 +3,13 @@
 import csv
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lingospan.sources.readers import read_csv_whole
-from lingospan.sources.split_csv import inside_after, read_split_csv
+from lingospan.schemas import literal_frame
+from lingospan.sources.split_csv import line_kind, read_split_csv, states_after
 
 DDL = "id BIGINT, a STRING, b STRING, n DOUBLE"
 PARTS = ['"', '""', ",", "\n", "\n\n", "x", "é🙂", " ", "'", "\\", "word", '",', ',"', "\t", '"\n"', "  "]
@@ -87,9 +90,37 @@ def test_without_header(spark, tmp_path):
     assert [tuple(r) for r in read_split_csv(spark, str(tmp_path), DDL, header=False).collect()] == [(1, "x\ny", "b", 2.0)]
 
 
-@pytest.mark.parametrize(
-    ("line", "outside", "inside"),
-    [("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('"a","b', True, True), ('""', False, True), ('x,"a""', True, False)],
-)
-def test_state_after_a_line(line, outside, inside):
-    assert (inside_after(line, False), inside_after(line, True)) == (outside, inside)
+def inside_after(line, inside):
+    """Whether a line ends inside quotes, letter by letter."""
+    start, doubled = not inside, False
+    unquoted = False  # in the rest of a field, where quotes are letters
+    for i, c in enumerate(line):
+        if doubled:
+            doubled = False
+        elif inside:
+            if c == '"' and line[i + 1 : i + 2] == '"':
+                doubled = True
+            elif c == '"':
+                inside, unquoted = False, True
+        elif c == ",":
+            start, unquoted = True, False
+            continue
+        elif c == '"' and start and not unquoted:
+            inside = True
+        else:
+            unquoted = True
+        start = False
+    return inside
+
+
+def test_states_of_lines(spark):
+    rng = random.Random(1)
+    lines = ["a,b", '"a', 'a"b', '"a","b', '""', 'x,"a""', '"' * 5, "", '"a"b"c,"', *["".join(rng.choices('"",ab', k=rng.randrange(12))) for _ in range(3000)]]
+    lines += ['"' + 'x""' * 60_000, "x" * 100_000 + ',"a", ' * 20_000 + '"']
+    kinds = [r.k for r in literal_frame(spark, [[i, x] for i, x in enumerate(lines)], "i INT, x STRING").orderBy("i").select(line_kind(F.col("x")).alias("k")).collect()]
+    for start in (False, True):
+        got, state = states_after(np.array(kinds), start), start
+        for line, kind, after in zip(lines, kinds, got, strict=True):
+            assert states_after(np.array([kind]), state)[0] == inside_after(line, state), line[:50]
+            state = inside_after(line, state)
+            assert state == after
