@@ -97,6 +97,10 @@ def _hypergeometric(pool: Column, marked: Column, draws: Column, unit: Column) -
     )
 
 
+#: Rows of a level of the matrix from which on they are drawn in many tasks.
+SPREAD_ROWS = 64
+
+
 def communication_matrix(counts: DataFrame, parts: int, shards: int, seed: int = 0) -> DataFrame:
     """From (part, n) draw (part, to): ``to[j]`` rows of the part go to shard ``j``.
 
@@ -167,7 +171,9 @@ def communication_matrix(counts: DataFrame, parts: int, shards: int, seed: int =
                 )
             )
         )
-        if half * shards == 4096:  # enough rows by now to be worth dealing out over tasks
+        rows = parts // half
+        if rows >= SPREAD_ROWS and rows.bit_length() % 3 == SPREAD_ROWS.bit_length() % 3:
+            # The rows double with every level; they are dealt out over tasks at first and after each three levels.
             level = level.repartition("part")
         width = half
     return level.select("part", "to")

@@ -159,6 +159,17 @@ def test_a_large_region_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == component_ids(rows, 5)
 
 
+def test_matrix_is_drawn_in_many_tasks(spark):
+    counts = spark.range(4096).selectExpr("id AS part", "1 + id % 7 AS n")
+    matrix = sharding.communication_matrix(counts, 4096, 24, 0)
+    plan = matrix._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3
+    got = {r.part: r.to for r in sharding.communication_matrix(counts.where("part < 256"), 256, 24, 0).collect()}
+    assert all(sum(to) == 1 + part % 7 for part, to in got.items()) and len(got) == 256
+    sums = [sum(to[j] for to in got.values()) for j in range(24)]
+    assert max(sums) - min(sums) <= 1
+
+
 def test_near_duplicates_of_odd_tables(spark, empty):
     assert near_duplicates.op2_forest_components(empty).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "y"), (None, "a b c d e", "z")], "doc_id BIGINT, text STRING, part STRING")
