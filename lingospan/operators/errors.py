@@ -251,7 +251,7 @@ def suggest_category(
     E1: half of the distinct hypothesis words are in the premise and entailment was predicted. E2: exactly
     one side is negated. E3: more tokens per word than the mean of the language. E4: high morphology. E5:
     word order other than SVO. ``error_category`` stays for people to fill in. Every language has its mean,
-    a NULL language too.
+    a NULL language too. Texts are counted once: the rows are stored with their ratio, and the means read only that.
     """
     both = errors.withColumn("_text", F.concat_ws(" ", F.col("premise"), F.col("hypothesis")))
     counted = both.withColumn("_c", count_tokens_and_words(both, "_text"))
@@ -259,6 +259,9 @@ def suggest_category(
         *errors.columns,
         F.try_divide(F.col("_c.tokens").cast("double"), F.col("_c.words").cast("double")).alias("_ratio"),
     )
+    path = work_folder(errors.sparkSession, "measured")
+    measured.write.parquet(path)
+    measured = errors.sparkSession.read.schema(measured.schema).parquet(path)
     # Texts are split only where the rule can apply.
     mentioned = F.array_distinct(text.tokens("hypothesis"))
     overlap = F.try_divide(

@@ -489,6 +489,8 @@ ORACLES |= {
     "score_latency": _with_views("SELECT lang, count(*) AS n, true AS positive, true AS ordered FROM pairs_long GROUP BY lang"),
     "zero_shot_transfer": _with_views("""SELECT lang, count(*) AS n, true AS counted, true AS divided, true AS compared
         FROM pairs_long WHERE split = 'validation' GROUP BY lang"""),
+    "zero_shot_epochs": _with_views("""SELECT epoch, lang, count(*) AS n, true AS counted, true AS divided, true AS ruled
+        FROM pairs_long, (SELECT unnest([1, 2, 3]) AS epoch) e WHERE split = 'validation' GROUP BY ALL"""),
     "select_lang_plain": _with_views(_texts("example_id", "premise", "hypothesis", "pairs_long")),
     "catalog_open": _with_views("""SELECT lang, split, count(*) AS n, CAST(sum(length(premise)) AS BIGINT) AS chars
         FROM pairs_long WHERE lang IN ('de', 'fr') GROUP BY ALL"""),
@@ -504,3 +506,4 @@ ORACLES["decode_ids"] = _with_views(_DECODED.replace("{encoded}", ORACLES["encod
 ORACLES["error_records_progressive"] = ORACLES["error_records"]
 ORACLES["rows_checked_progressive"] = ORACLES["rows_checked"]
 ORACLES["encode_shuffled"] = ORACLES["encode_pairs"]
+ORACLES["stream_accuracy_versions"] = ORACLES["stream_accuracy"]

@@ -12,10 +12,10 @@ from pyspark.sql.window import Window
 
 from lingospan.config import PAIR_MAX_LENGTH, TOKEN_SEQUENCE_MAX_LENGTH, work_folder
 from lingospan.functions import labels, multilingual, text, vectors
-from lingospan.operators import encoding, errors, evaluation, history, ordering, pairs, profiling, progressive, scoring, transfer
+from lingospan.operators import encoding, epochs, errors, evaluation, history, ordering, pairs, profiling, progressive, scoring, transfer
 from lingospan.plans import fixtures as fx
 from lingospan.schemas import NER_LABELS, NLI_LABELS, category_dim, language_dim
-from lingospan.sources import ingest, readers, registry, writers
+from lingospan.sources import ingest, readers, registry, versions, writers
 from lingospan import streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -863,6 +863,20 @@ def zero_shot_transfer(spark, sf_dir):
     )
 
 
+@query
+def zero_shot_epochs(spark, sf_dir):
+    """Three epochs of mini-batches on English, averaged over four tasks, every language evaluated after each."""
+    table = epochs.train_epochs(fx.pairs_long(spark, sf_dir), PRESENT, parts=4).evaluation
+    source = table.where(F.col("lang") == "en").select("epoch", F.col("accuracy").alias("_source"))
+    before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)  # one row per epoch
+    source = source.withColumn("_best", F.coalesce(F.max("_source").over(before), F.lit(0.0)))
+    return table.join(source, "epoch").select(
+        big("epoch").alias("epoch"), "lang", "n", F.col("correct").between(0, F.col("n")).alias("counted"),
+        (r6("accuracy") == r6(F.try_divide(F.col("correct").cast("double"), F.col("n")))).alias("divided"),
+        (F.col("is_best") == (F.col("_source") > F.col("_best"))).alias("ruled"),
+    )
+
+
 # ---- streams -----------------------------------------------------------------------------------------
 
 
@@ -885,3 +899,12 @@ def stream_accuracy(spark, sf_dir):
     scored = scoring.score_logits(_arrivals(spark, sf_dir), fx.LOGITS_A)
     streaming.publish_totals(streaming.running_accuracy(scored), out, state).awaitTermination()
     return spark.read.parquet(out).withColumn("accuracy", r6("accuracy"))
+
+
+@query
+def stream_accuracy_versions(spark, sf_dir):
+    """The same totals, published as versions that can be read at any moment."""
+    out, state = work_folder(spark, "stream-versions"), work_folder(spark, "stream-versions-state")
+    scored = scoring.score_logits(_arrivals(spark, sf_dir), fx.LOGITS_A)
+    streaming.publish_versions(streaming.running_accuracy(scored), out, state).awaitTermination()
+    return versions.read_current(spark, out).withColumn("accuracy", r6("accuracy"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lingospan.operators.scoring import score_pairs
 from lingospan.schemas import NLI_LABELS
+from lingospan.sources import versions
 
 
 def read_pair_stream(
@@ -50,7 +52,10 @@ def running_accuracy(stream: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 def publish_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Replace the table at ``path`` by the current totals after each batch of arrivals."""
+    """Replace the table at ``path`` by the current totals after each batch of arrivals.
+
+    The folder is overwritten in place; ``publish_versions`` leaves readers no moment without a table.
+    """
     return (
         totals.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
@@ -58,3 +63,31 @@ def publish_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQu
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps as long as its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value)["id"]
+
+
+def publish_versions(totals: DataFrame, path: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Publish the current totals as a new version of the table at ``path`` after each batch of arrivals.
+
+    ``versions.read_current`` reads them at any moment. A version is named by the stream's id and the batch, so a batch
+    that is repeated after a restart is published once, and a stream with a new checkpoint goes on after the versions of
+    the old one.
+    """
+    spark = totals.sparkSession
+
+    def publish(batch: DataFrame, number: int) -> None:
+        if not versions.publish(batch, path, f"{stream_id(spark, checkpoint)}-{number}", keep):
+            # Committed before a stop: the stream's state still needs the batch to be processed.
+            batch.write.format("noop").mode("overwrite").save()
+
+    return (
+        totals.writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(publish)
+        .trigger(availableNow=True)
+        .start()
+    )
