@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from lingospan.llm import chat, divergence, whitening
+from lingospan.llm import chat, divergence, personal, whitening
 
 # Whitening
 
@@ -268,3 +269,21 @@ def test_weights_of_large_counts_are_exact():
 
 def test_divergences_of_an_empty_table(spark):
     assert divergence.op13_arrow_divergence(spoken(spark, [])).collect() == []
+
+
+def test_spans_and_surroundings_equal_slices_of_the_text(spark):
+    rng = random.Random(1)
+    bits = ["a@b.c", " ", "+49 123 456 7890", "1.2.3.4", "😀", "x [at] y.de", "4111 1111 1111 1111", "é", "\n", "word ",
+            "a@b.cd@e.f", "12.3.4.5.6.7.8", " a long gap of more than some thirty letters ", "1:2:3:4:5:6:7:8"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    texts += ["", "a@b.c", "a@b.c" * 30, " a@b.c" * (3 * personal.RUN), " a@b.c" * personal.RUN, "a@b.c " * (personal.RUN - 1)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    matches = 0
+    for pattern in [*personal.STRICT.values(), *personal.LOOSE.values()]:
+        for r in df.select("text", personal.found(F.col("text"), pattern).alias("found")).collect():
+            assert [m.value for m in r.found] == [m[0] for m in regex.compile(pattern).finditer(r.text)]
+            for m in r.found:
+                assert (r.text[m.start : m.end], r.text[m.end : m.end + 1]) == (m.value, m.after)
+                assert r.text[max(0, m.start - personal.AROUND) : m.start] == m.before
+                matches += len(m.value) >= personal.SHORTEST
+    assert matches > 2000
