@@ -17,14 +17,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the cluster shares, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. Where none is set, a local one is made in local mode, and the job
+    fails on a cluster, whose executors could not reach it."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        base = tempfile.mkdtemp(prefix="llm-")
+    return base.rstrip("/")
 
-    The folder comes from ``spark.checkpoint.dir``; a local one is made only where none is set.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the folder that the cluster shares, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="llm-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -35,8 +44,7 @@ def compact(df: DataFrame, rows: int, per_part: int = 500_000) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet into the shared folder, and read again."""
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="llm-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

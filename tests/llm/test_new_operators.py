@@ -6,14 +6,16 @@ import hashlib
 import math
 import random
 import re
+import tempfile
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lingospan.llm import chat, divergence, personal, whitening
+from lingospan.llm import chat, common, divergence, personal, whitening
 
 # Whitening
 
@@ -287,3 +289,14 @@ def test_spans_and_surroundings_equal_slices_of_the_text(spark):
                 assert r.text[max(0, m.start - personal.AROUND) : m.start] == m.before
                 matches += len(m.value) >= personal.SHORTEST
     assert matches > 2000
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    def session(master, **settings):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: settings))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session("spark://host:7077"))
+    assert common.shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+    assert common.shared_folder(session("local[2]")).startswith(tempfile.gettempdir())
+    assert common.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
