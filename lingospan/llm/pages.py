@@ -1,9 +1,11 @@
 """Main text of web pages by markup and by differencing against the page with the nearest URL.
 
 Pages of one host that lie next to each other by URL path share their template. A page's text lines are aligned with
-those of its nearest neighbour by longest common subsequence; a shared line is template and goes, inside an
-``article`` or ``main`` element too. Markup is the guard: where nearly all of such an element is shared, the neighbour
-is a copy and the element stays whole; menus, forms, adverts, comments and the like are never main text.
+those of its nearest neighbour by longest common subsequence; a shared line is template and goes. Inside an ``article``
+or ``main`` element one neighbour's word is not enough, as two articles may quote the same passage: there a line is
+template where differencing finds it shared on at least half of the host's pages, and then goes from all of them.
+Markup is the guard: where nearly all of such an element is template, the pages are copies and the element stays
+whole; menus, forms, adverts, comments and the like are never main text.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from typing import NamedTuple
 
 import pandas as pd
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingospan.llm.common import cut
+from lingospan.llm.common import cut, fresh
 
 # Element names of HTML and words that sites use in class, id and role.
 BLOCKS = frozenset(
@@ -59,8 +61,12 @@ SPLIT = re.compile(r"[-_]+")
 
 #: What markup says of a line.
 MAIN, OPEN, BOILERPLATE = 0, 1, 2
-#: A neighbour that shares this part of the main lines, and of their letters, is a copy of the page.
+#: Where this part of the main lines, and of their letters, is template, the page is one of many copies.
 COPY = 0.8
+#: A line inside main text is template where this part of the host's pages, and this many, share it with a neighbour.
+HOST_SHARE, HOST_PAGES = 0.5, 3
+#: Hashes of template lines up to which they are broadcast (8 bytes each).
+BROADCAST_HASHES = 1_000_000
 
 
 class _State(NamedTuple):
@@ -249,16 +255,19 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
     return sorted(found)
 
 
-def main_text(page: str, neighbour: list[int] | None) -> str:
-    """Main text of a page whose nearest neighbour has lines with these hashes."""
+def main_text(page: str, shared: bytes | None = None, template: Set[int] = frozenset()) -> str:
+    """Main text of a page, given a byte for each line that is 1 where its nearest neighbour shares it, and the hashes
+    of the lines that are template inside main text on its host."""
     blocks = lines(page)
-    shared = set(aligned(line_hashes(blocks), neighbour)) if neighbour else set()
-    if shared:
-        main = [(i in shared, len(text)) for i, (text, kind) in enumerate(blocks) if kind == MAIN]
-        letters = sum(n for _, n in main)
-        if sum(s for s, _ in main) >= COPY * len(main) and sum(n for s, n in main if s) >= COPY * letters:
-            shared = {i for i in shared if blocks[i][1] != MAIN}
-    return "\n".join(text for i, (text, kind) in enumerate(blocks) if kind != BOILERPLATE and i not in shared)
+    gone = {i for i, one in enumerate(shared or b"") if one and blocks[i][1] == OPEN}
+    if template:
+        main = [(i, len(text)) for i, (text, kind) in enumerate(blocks) if kind == MAIN]
+        hashes = line_hashes(blocks)
+        inside = {i for i, _ in main if hashes[i] in template}
+        letters = sum(n for i, n in main if i in inside)
+        if len(inside) < COPY * len(main) or letters < COPY * sum(n for _, n in main):
+            gone |= inside
+    return "\n".join(text for i, (text, kind) in enumerate(blocks) if kind != BOILERPLATE and i not in gone)
 
 
 def line_hashes(blocks: list[tuple[str, int]]) -> list[int]:
@@ -266,7 +275,7 @@ def line_hashes(blocks: list[tuple[str, int]]) -> list[int]:
 
 
 def with_neighbour(pages: DataFrame, key: str, url: str) -> DataFrame:
-    """(key, mate): the key of the page next to each by host and URL path that has the longer path in common with it.
+    """(key, host, mate): the key of the page next to each by host and URL path that has the longer path in common with it.
 
     All pages are put in one order of host and path by ranges, however many a host has; a page's rank in it then finds
     its two neighbours by an ordinary join. A null or unreadable URL has an empty host and path. Pages that share a
@@ -310,44 +319,77 @@ def with_neighbour(pages: DataFrame, key: str, url: str) -> DataFrame:
         F.size("steps"),
     )
     pairs = ranked.join(beside(-1).unionByName(beside(1)), "rank").filter("host = host_")
-    return pairs.groupBy("rank", "key").agg(F.max_by("mate", F.struct(common, -F.col("step"))).alias("mate")).select("key", "mate")
+    nearest = F.max_by("mate", F.struct(common, -F.col("step"))).alias("mate")
+    return pairs.groupBy("rank", "key", "host").agg(nearest).select("key", "host", "mate")
+
+
+def _templates(compared: DataFrame) -> DataFrame:
+    """(host, template array<bigint>): hashes of the lines that are template inside main text.
+
+    Each of them stands on at least half of the host's pages, so a host has at most twice as many as a page has lines.
+    """
+    sizes = compared.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = compared.select("host", F.explode("main").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    often = counted.filter(F.col("n") >= HOST_PAGES).join(sizes, "host").filter(F.col("n") >= HOST_SHARE * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with ``text``, for every row; other columns stay, a column named ``text`` is replaced.
 
-    A null or empty page has an empty text. The id names a page; rows that repeat an id take the same neighbour. A
-    host's only page has no neighbour: what markup leaves open then counts as main text. A copy without an ``article``
-    or ``main`` element has nothing of its own and loses what it shares.
+    A null or empty page has an empty text. Rows equal in id, URL and html are one page; rows that share only some of
+    these are pages of their own. A host's only page has no neighbour: what markup leaves open then counts as main
+    text. A copy without an ``article`` or ``main`` element has nothing of its own and loses what it shares.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    row, url, shared, template = fresh(pages, "_key", "_url", "_shared", "_template")
+    key = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(F.col(url_col), F.col(html_col)))
     source = pages.drop("text") if "text" in pages.columns else pages
-    keyed = source.withColumn("_key", key)
-    narrow = keyed.select("_key", F.col(url_col).alias("_url")).dropDuplicates(["_key"])
-    mates = with_neighbour(narrow, "_key", "_url")
+    keyed = source.withColumn(row, key)
+    mates = with_neighbour(keyed.select(row, F.col(url_col).alias(url)).dropDuplicates([row]), row, url)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [line_hashes(lines(page or "")) for page in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["key", "hashes"])
+            blocks = [lines(page or "") for page in batch.column(1).to_pylist()]
+            main = [bytes(kind == MAIN for _, kind in page) for page in blocks]
+            hashes = pa.array([line_hashes(page) for page in blocks], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array(main, pa.binary())], ["key", "hashes", "inside"])
 
-    of_lines = cut(keyed.select("_key", F.col(html_col)).mapInArrow(hashed, "key string, hashes array<bigint>").dropDuplicates(["key"]))
-    needed = mates.join(of_lines.withColumnRenamed("key", "mate"), "mate").select(
-        F.col("key").alias("_key"), F.col("hashes").alias("_mate")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, main = [], []
+            for own, inside, theirs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                both = bytearray(len(own))
+                for i in aligned(own, theirs):
+                    both[i] = 1
+                marks.append(bytes(both))
+                main.append(sorted({own[i] for i, one in enumerate(both) if one and inside[i]}))
+            found = [batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(main, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(found, ["key", "host", "shared", "main"])
+
+    of_lines = keyed.select(row, html_col).mapInArrow(hashed, "key string, hashes array<bigint>, inside binary")
+    of_lines = cut(of_lines.dropDuplicates(["key"]))
+    theirs = of_lines.select(F.col("key").alias("mate"), F.col("hashes").alias("theirs"))
+    compared = cut(
+        mates.join(theirs, "mate").join(of_lines, "key").select("key", "host", "hashes", "inside", "theirs")
+        .mapInArrow(compare, "key string, host string, shared binary, main array<bigint>")
+    )
+    templates = cut(_templates(compared))
+    if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
+        templates = F.broadcast(templates)
+    known = compared.join(templates, "host", "left").select(
+        F.col("key").alias(row), F.col("shared").alias(shared), F.col("template").alias(template)
     )
 
     @F.pandas_udf("string")
-    def texts(page, neighbour):
-        return pd.Series(
-            [main_text(p or "", None if n is None else [int(x) for x in n]) for p, n in zip(page, neighbour, strict=True)],
-            index=page.index,
-            dtype=object,
-        )
+    def texts(page, marks, inside):
+        rows = zip(page, marks, inside, strict=True)
+        found = [main_text(p or "", m, set() if t is None else {int(x) for x in t}) for p, m, t in rows]
+        return pd.Series(found, index=page.index, dtype=object)
 
     return (
-        keyed.join(needed, "_key", "left")
-        .withColumn("text", texts(F.col(html_col), F.col("_mate")))
-        .drop("_key", "_mate")
+        keyed.join(known, row, "left")
+        .withColumn("text", texts(F.col(html_col), F.col(shared), F.col(template)))
+        .drop(row, shared, template)
     )
 
 

@@ -300,6 +300,47 @@ def test_differencing_decides_inside_articles_too(spark):
     assert got[20] == "Teaser\nBody 1" and got[21] == "Teaser\nBody 2"
 
 
+def test_lines_of_articles_are_treated_alike_on_a_host(spark):
+    def page(*body):
+        return f"<nav>Home</nav><article>{''.join(f'<p>{x}</p>' for x in body)}</article><div>Imprint</div>"
+
+    # A passage that two neighbours quote stays; a line of six pages of ten goes from all six, wherever they lie.
+    rows = [(i, f"http://x.org/{i}", page(f"Own {i}", f"More {i}", *["Subscribe"] * (i > 3), *["Quoted"] * (i in (1, 2)))) for i in range(10)]
+    # One id, and none, with several pages.
+    rows += [(50, f"http://y.org/{i}", page(f"Y {i}")) for i in range(3)] + [(None, f"http://y.org/n{i}", page(f"N {i}")) for i in range(2)]
+    rows += [(50, "http://y.org/0", page("Y 0"))]
+    table = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").withColumn("_key", F.lit(1))
+    got = sorted((r.page_id is None, r.page_id or 0, r.text) for r in pages.op3_nearest_url_difference(table).collect())
+    texts = [(False, i, f"Own {i}\nMore {i}" + "\nQuoted" * (i in (1, 2))) for i in range(10)]
+    texts += [(False, 50, t) for t in ("Y 0", "Y 0", "Y 1", "Y 2")] + [(True, 0, "N 0"), (True, 0, "N 1")]
+    assert got == texts
+    assert set(pages.extract(table).columns) == {"page_id", "url", "html", "_key", "text"}
+
+
+@pytest.mark.parametrize("most", [0, pages.BROADCAST_HASHES])
+def test_generated_sites_give_their_articles(spark, monkeypatch, most):
+    """The whole digest on sites whose articles are known; articles draw some paragraphs from a common stock."""
+    monkeypatch.setattr(pages, "BROADCAST_HASHES", most)
+    rng = random.Random(11)
+    stock = [f"Passage {i} that many articles quote." for i in range(40)]
+    rows, truth = [], {}
+    for host, n in (("a.org", 40), ("b.org", 12), ("c.org", 7), ("d.org", 1)):
+        for i in range(n):
+            body = [f"{host} {i} {k} {rng.random()}" for k in range(rng.randint(2, 6))] + rng.sample(stock, rng.randint(0, 4))
+            rng.shuffle(body)
+            inside = ["Read this by mail"] if host != "d.org" else []
+            html = "".join(f"<p>{x}</p>" for x in [*body, *inside])
+            top = f"<div>{host} news</div><ul class='menu'><li>Home</li></ul>" if host != "d.org" else ""
+            rows.append((len(rows), f"https://{host}/{i % 3}/{i}?s=1", f"<body>{top}<main>{html}</main><div class='ads'>Buy</div></body>"))
+            truth[rows[-1][0]] = "\n".join(body)
+    long = [f"Line {k} of a very long page." for k in range(20_000)]
+    rows.append((900, "https://c.org/long", "<div>c.org news</div><main>" + "".join(f"<p>{x}</p>" for x in long) + "</main>"))
+    truth[900] = "\n".join(long)
+    table = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").repartition(5)
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.op3_nearest_url_difference(table).collect()}
+    assert got == {k: (v, len(v)) for k, v in truth.items()}
+
+
 # ---- sharding ----------------------------------------------------------------------------------------
 
 
