@@ -255,11 +255,11 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
     return sorted(found)
 
 
-def main_text(page: str, shared: bytes | None = None, template: Set[int] = frozenset()) -> str:
-    """Main text of a page, given a byte for each line that is 1 where its nearest neighbour shares it, and the hashes
-    of the lines that are template inside main text on its host."""
+def main_text(page: str, shared: Set[int] | None = None, template: Set[int] = frozenset()) -> str:
+    """Main text of a page, given the places of lines that its nearest neighbour shares, and the hashes of the lines
+    that are template inside main text on its host."""
     blocks = lines(page)
-    gone = {i for i, one in enumerate(shared or b"") if one and blocks[i][1] == OPEN}
+    gone = {i for i, (_, kind) in enumerate(blocks) if kind == OPEN and i in (shared or ())}
     if template:
         main = [(i, len(text)) for i, (text, kind) in enumerate(blocks) if kind == MAIN]
         hashes = line_hashes(blocks)
@@ -300,7 +300,6 @@ def with_neighbour(pages: DataFrame, key: str, url: str) -> DataFrame:
     ranked = ordered.withColumn("part", part).join(F.broadcast(starts), "part").select(
         "host", F.split("path", "/").alias("steps"), "key", (F.col("start") + F.col("at").bitwiseAND(2**33 - 1)).alias("rank")
     )
-    ranked = cut(ranked)
 
     def beside(step: int) -> DataFrame:
         return ranked.select(
@@ -342,7 +341,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text. A copy without an ``article`` or ``main`` element has nothing of its own and loses what it shares.
     """
     row, url, shared, template = fresh(pages, "_key", "_url", "_shared", "_template")
-    key = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(F.col(url_col), F.col(html_col)))
+    parts = [F.col(c) for c in (id_col, url_col, html_col)]
+    key = F.xxhash64(*parts, *[c.isNull() for c in parts])  # the hash itself passes nulls over
     source = pages.drop("text") if "text" in pages.columns else pages
     keyed = source.withColumn(row, key)
     mates = with_neighbour(keyed.select(row, F.col(url_col).alias(url)).dropDuplicates([row]), row, url)
@@ -350,28 +350,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = [lines(page or "") for page in batch.column(1).to_pylist()]
-            main = [bytes(kind == MAIN for _, kind in page) for page in blocks]
+            kinds = [bytes(kind for _, kind in page) for page in blocks]
             hashes = pa.array([line_hashes(page) for page in blocks], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array(main, pa.binary())], ["key", "hashes", "inside"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array(kinds, pa.binary())], ["key", "hashes", "kinds"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Null where there is nothing, as on most pages.
         for batch in batches:
-            marks, main = [], []
-            for own, inside, theirs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                both = bytearray(len(own))
-                for i in aligned(own, theirs):
-                    both[i] = 1
-                marks.append(bytes(both))
-                main.append(sorted({own[i] for i, one in enumerate(both) if one and inside[i]}))
-            found = [batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(main, pa.list_(pa.int64()))]
+            places, main = [], []
+            for own, kinds, theirs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                both = aligned(own, theirs)
+                places.append([i for i in both if kinds[i] == OPEN] or None)
+                main.append(sorted({own[i] for i in both if kinds[i] == MAIN}) or None)
+            found = [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(main, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(found, ["key", "host", "shared", "main"])
 
-    of_lines = keyed.select(row, html_col).mapInArrow(hashed, "key string, hashes array<bigint>, inside binary")
+    of_lines = keyed.select(row, html_col).mapInArrow(hashed, "key bigint, hashes array<bigint>, kinds binary")
     of_lines = cut(of_lines.dropDuplicates(["key"]))
     theirs = of_lines.select(F.col("key").alias("mate"), F.col("hashes").alias("theirs"))
     compared = cut(
-        mates.join(theirs, "mate").join(of_lines, "key").select("key", "host", "hashes", "inside", "theirs")
-        .mapInArrow(compare, "key string, host string, shared binary, main array<bigint>")
+        mates.join(theirs, "mate").join(of_lines, "key").select("key", "host", "hashes", "kinds", "theirs")
+        .mapInArrow(compare, "key bigint, host string, shared array<int>, main array<bigint>")
     )
     templates = cut(_templates(compared))
     if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
@@ -381,9 +380,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
     @F.pandas_udf("string")
-    def texts(page, marks, inside):
-        rows = zip(page, marks, inside, strict=True)
-        found = [main_text(p or "", m, set() if t is None else {int(x) for x in t}) for p, m, t in rows]
+    def texts(page, places, inside):
+        sets = ([set() if x is None else {int(i) for i in x} for x in column] for column in (places, inside))
+        found = [main_text(p or "", *known) for p, *known in zip(page, *sets, strict=True)]
         return pd.Series(found, index=page.index, dtype=object)
 
     return (
