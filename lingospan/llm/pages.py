@@ -282,12 +282,10 @@ def with_neighbour(pages: DataFrame, key: str, url: str) -> DataFrame:
     URL stand in the order of their keys, ties of nearness go to the earlier page.
     """
     bare = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
-    narrow = cut(
-        pages.select(
-            F.col(key).alias("key"),
-            F.lower(F.regexp_extract(bare, r"^([^/]*)", 1)).alias("host"),
-            F.regexp_replace(F.regexp_extract(bare, r"^[^/]*(/.*)?$", 1), r"/+$", "").alias("path"),
-        )
+    narrow = pages.select(
+        F.col(key).alias("key"),
+        F.lower(F.regexp_extract(bare, r"^([^/]*)", 1)).alias("host"),
+        F.regexp_replace(F.regexp_extract(bare, r"^[^/]*(/.*)?$", 1), r"/+$", "").alias("path"),
     )
     place = ["host", "path", "key"]
     ordered = cut(
@@ -375,7 +373,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     templates = cut(_templates(compared))
     if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
         templates = F.broadcast(templates)
-    known = compared.join(templates, "host", "left").select(
+    # Pages of which nothing can go need not meet their html again.
+    known = compared.join(templates, "host", "left").filter("shared IS NOT NULL OR template IS NOT NULL").select(
         F.col("key").alias(row), F.col("shared").alias(shared), F.col("template").alias(template)
     )
 
