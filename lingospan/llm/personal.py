@@ -2,13 +2,15 @@
 
 Generators with high recall propose spans, which may overlap: the strict formats, and looser spellings of them. Each
 candidate has features of its format and of its surroundings. Boosted trees learn from candidates whose standing the
-checks decide (a strict format that passes its check, and what overlaps it, against one that fails), on a bounded
-sample of documents; a threshold for each kind is set on the part of the sample that the trees did not see, and
-decides on the candidates that the checks leave open. Spans that pass the checks are kept whatever the trees say.
+checks decide (a strict format that passes its check, and what overlaps it, against one that fails), in one half of
+all documents; a threshold for each kind is set on the other half, which the trees did not see, and decides on the
+candidates that the checks leave open. Candidates with equal features are one weighted row to the trees, so that what
+they go over grows with the variety of the candidates. Spans that pass the checks are kept whatever the trees say.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -48,14 +50,16 @@ CONTEXT = {
     "card": "card|visa|master|credit|account|pay",
     "phone": r"phone|call|tel\b|tel:|mobile|fax|contact",
 }
-#: Documents with candidates that teach at most, and code points looked at before a span.
-SAMPLE_ROWS, AROUND = 20_000, 24
+#: Code points looked at before a span.
+AROUND = 24
 #: Code points that a match of any pattern has at least.
 SHORTEST = 5
 #: Matches whose places are added up together.
 RUN = 256
 #: Precision that a threshold must have on the held-out part.
 PRECISION = 0.99
+#: Least bins of a feature; Spark ML samples rows for them beyond their square, or 10,000.
+BINS = 32
 FEATURES = [
     "is_email", "is_ip", "is_card", "is_phone", "loose", "length", "digits", "letters", "separators", "luhn", "octets",
     "context", "glued_before", "glued_after", "digit_before", "groups",
@@ -202,13 +206,12 @@ def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def teach(spans: DataFrame) -> tuple[GBTClassificationModel | None, dict[str, float]]:
-    """Trees and a threshold for each kind, from the candidates of at most ``SAMPLE_ROWS`` documents.
+def lessons(spans: DataFrame) -> DataFrame:
+    """(kind, label, seen, features, n): all candidates that teach, those with equal features counted in one row. Stored.
 
     Candidates teach where the checks decide: strict ones by their check, loose ones that overlap a strict one of
-    their kind by that one's. Without both outcomes there are no trees, and no span is added.
+    their kind by that one's. ``seen`` is the half that the trees learn from.
     """
-    chosen = spans.filter("size(spans) > 0").orderBy(F.xxhash64("doc_id"), "row").limit(SAMPLE_ROWS)
 
     def meets(x: Column, of: Callable[[Column], Column]) -> Column:
         return F.exists("spans", lambda s: of(s) & (s["kind"] == x["kind"]) & _overlap(s, x))
@@ -221,34 +224,51 @@ def teach(spans: DataFrame) -> tuple[GBTClassificationModel | None, dict[str, fl
     right = F.filter("spans", lambda x: x["loose"] & good(x))
     wrong = F.filter("spans", lambda x: x["loose"] & ~good(x) & meets(x, lambda s: ~s["loose"]))
     taught = (
-        chosen.select("row", F.inline(strict)).withColumn("label", F.col("passed").cast("double"))
-        .unionByName(chosen.select("row", F.inline(right)).withColumn("label", F.lit(1.0)))
-        .unionByName(chosen.select("row", F.inline(wrong)).withColumn("label", F.lit(0.0)))
+        spans.select("row", F.inline(strict)).withColumn("label", F.col("passed").cast("double"))
+        .unionByName(spans.select("row", F.inline(right)).withColumn("label", F.lit(1.0)))
+        .unionByName(spans.select("row", F.inline(wrong)).withColumn("label", F.lit(0.0)))
     )
     seen = F.pmod(F.xxhash64("row"), F.lit(2)) == 0
-    rows = cut(_vectors(described(taught)).select("kind", "label", "features", seen.alias("seen")))
+    counted = (
+        described(taught).withColumn("seen", seen).groupBy("kind", "label", "seen", *_COLUMNS).agg(F.count("*").alias("n"))
+    )
+    return cut(_vectors(counted).select("kind", "label", "seen", "features", F.col("n").cast("double").alias("n")))
+
+
+def teach(spans: DataFrame) -> tuple[GBTClassificationModel | None, dict[str, float]]:
+    """Trees and a threshold for each kind, from all candidates that the checks decide (``lessons``).
+
+    Without both outcomes there are no trees, and no span is added.
+    """
+    rows = lessons(spans)
     counts = {(r.seen, r.label): r["count"] for r in rows.groupBy("seen", "label").count().collect()}
     if len([k for k in counts if k[0]]) < 2:
         return None, {}
-    trees = GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=7, cacheNodeIds=False).fit(rows.filter("seen"))
+    # As many bins as keep Spark ML from sampling rows for them: all that the trees see counts.
+    distinct = sum(n for k, n in counts.items() if k[0])
+    bins = BINS if distinct <= 10_000 else max(BINS, math.isqrt(distinct) + 1)
+    learner = GBTClassifier(labelCol="label", weightCol="n", maxIter=10, maxDepth=3, seed=7, cacheNodeIds=False, maxBins=bins)
+    trees = learner.fit(rows.filter("seen"))
     # Calibration: for each kind the least score at and above which the held-out candidates are as precise as asked.
     held = trees.transform(rows.filter("NOT seen")).select(
-        "kind", "label", F.round(vector_to_array("probability")[1], 3).alias("p")
+        "kind", "label", "n", F.round(vector_to_array("probability")[1], 3).alias("p")
     )
-    bins = held.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()  # 1,001 a kind
+    scores = held.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")).collect()  # 1,001 a kind
     thresholds = {}
     for kind in KINDS:
         n = hits = 0
-        for p, m, h in sorted(((r.p, r.n, r.hits) for r in bins if r.kind == kind), reverse=True):
+        for p, m, h in sorted(((r.p, r.n, r.hits) for r in scores if r.kind == kind), reverse=True):
             n, hits = n + m, hits + h
             if hits >= PRECISION * n:
                 thresholds[kind] = max(p, 0.5)
     return trees, thresholds
 
 
+_COLUMNS = ["loose_" if c == "loose" else c for c in FEATURES]
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
-    columns = ["loose_" if c == "loose" else c for c in FEATURES]
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    return VectorAssembler(inputCols=_COLUMNS, outputCol="features").transform(rows)
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

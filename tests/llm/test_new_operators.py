@@ -291,6 +291,29 @@ def test_spans_and_surroundings_equal_slices_of_the_text(spark):
     assert matches > 2000
 
 
+def test_all_candidates_teach(spark, monkeypatch):
+    # The loose spelling is learned from documents that a bound would leave out.
+    monkeypatch.setattr(personal, "SAMPLE_ROWS", 1, raising=False)
+    pieces = ["call +1 (988) 555-2485 now", "ip 1.2.3.4", "no 300.1.1.1", "card 4111 1111 1111 1112", "a@b.com", "tel (988) 555-2485"]
+    rows = [(i, " and ".join(pieces[: 1 + i % 6])) for i in range(600)]
+    found = personal.op10_boosted_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    last = [r.spans.split(",")[-1] for r in found if r.doc_id % 6 == 5]
+    assert len(last) == 100 and {s.split(":")[0] for s in last} == {"phone"}
+
+
+def test_lessons_count_every_decided_candidate(spark):
+    docs = spark.range(25_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("at 10.0.0."), F.col("id") % 500, F.lit(" or a@b.com")).alias("text")
+    )
+    rows = personal.lessons(personal.candidates(docs)).collect()
+    counts = Counter()
+    for r in rows:
+        counts[r.kind, r.label] += r.n
+    passed = sum(i % 500 <= 255 for i in range(25_000))
+    assert counts == {("email", 1.0): 25_000, ("ip", 1.0): passed, ("ip", 0.0): 25_000 - passed}
+    assert len(rows) < 100
+
+
 def test_no_local_folder_on_a_cluster(spark):
     def session(master, **settings):
         return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: settings))
