@@ -59,40 +59,68 @@ def dataset_sizes(df: DataFrame, splits: Sequence[str] = SPLITS) -> DataFrame:
     return df.groupBy("lang").pivot("split", list(splits)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 21
 _CODE_POINTS = "grp STRING, code_point INT, n BIGINT"
 
 
+def _stretches(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows whose sizes add up to about ``limit``; a larger row is alone or ends one."""
+    block = np.cumsum(sizes, dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+    return ((i, j) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
+def _pieces(texts: pa.Array, limit: int) -> Iterator[str]:
+    """The characters of all texts in strings made from at most ``limit`` bytes, or one character, cut between characters."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32 if pa.types.is_string(texts.type) else np.int64)
+    at, end = offsets[texts.offset], offsets[texts.offset + len(texts)]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    while at < end:
+        stop = min(end, at + max(limit, 4))
+        for _ in range(3):
+            if stop < end and data[stop] & 0xC0 == 0x80:
+                stop -= 1
+        yield data[at:stop].tobytes().decode("utf-8")
+        at = stop
+
+
 def char_counts(
     df: DataFrame, column: str = "text", group: str = "lang", first: int | None = None, order: str | None = None
 ) -> DataFrame:
     """Occurrences of each letter per group: (group, ch, n).
 
-    Each Arrow batch is counted with numpy, so the shuffle carries one row per group, batch and distinct
-    character rather than one per character of text. Whether a character is a letter is decided afterwards
-    on the distinct ones. ``first`` looks only at the first rows of each group by ``order``.
+    Each Arrow batch is counted with numpy, so the shuffle carries one row per group, block and distinct
+    character rather than one per character of text. Texts stay in Arrow's bytes but for one block at a time.
+    Whether a character is a letter is decided afterwards on the distinct ones. ``first`` looks only at the first
+    rows of each group by ``order``.
     """
     if first is not None:
         df = first_n_per_group(df, [group], order, first)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas().dropna(subset=["text"])
-            # Blocks of bounded length, so that long texts do not pile up in memory.
-            block = frame["text"].str.len().cumsum() // BLOCK_CHARS
-            for (key, _), texts in frame.groupby(["grp", block], dropna=False)["text"]:
-                points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                totals = np.bincount(points)
+    def block_counts(groups: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        encoded = groups.dictionary_encode(null_encoding="encode")
+        for code, key in enumerate(encoded.dictionary.to_pylist()):
+            for piece in _pieces(texts.filter(pc.equal(encoded.indices, code)), BLOCK_CHARS):
+                totals = np.bincount(np.frombuffer(piece.encode("utf-32-le"), dtype=np.uint32))
                 seen = np.flatnonzero(totals)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([None if pd.isna(key) else key] * len(seen), pa.string()),
+                        pa.array([key] * len(seen), pa.string()),
                         pa.array(seen, pa.int32()),
                         pa.array(totals[seen], pa.int64()),
                     ],
                     names=["grp", "code_point", "n"],
                 )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for i, j in _stretches(sizes, BLOCK_CHARS):
+                rows = batch.slice(i, j - i).filter(batch.column(1).slice(i, j - i).is_valid())
+                yield from block_counts(rows.column(0), rows.column(1))
+            del batch
+
     counted = (
         df.select(F.col(group).alias("grp"), F.col(column).alias("text"))
         .mapInArrow(count, _CODE_POINTS)
@@ -183,12 +211,9 @@ def count_tokens_and_words(df: DataFrame, column: str) -> Column:
     @F.arrow_udf("tokens bigint, words bigint")
     def count(batch: pa.Array) -> pa.Array:
         sizes = pc.fill_null(pc.utf8_length(batch), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes, dtype=np.int64) // BLOCK_CHARS
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(batch)]
         parts = [
             _count_block(pc.fill_null(batch.slice(i, j - i), "").to_pylist(), shared.value)
-            for i, j in zip(cuts, cuts[1:])
-            if j > i
+            for i, j in _stretches(sizes, BLOCK_CHARS)
         ]
         columns = [np.concatenate([p[k] for p in parts]) if parts else [] for k in range(2)]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tokens", "words"])

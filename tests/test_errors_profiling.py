@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,33 @@ def test_char_counts_in_blocks_and_first_rows(spark, monkeypatch):
     assert got == dict(Counter("".join(r[2] for r in rows[:10])))
 
 
+def test_char_counts_hold_one_block_of_a_batch(spark):
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, count, _):
+            self.count = count
+            return self
+
+        groupBy = agg = where = select
+
+    frame = Frame()
+    profiling.char_counts(frame)
+    texts = ["猫a\U00031350" * 300_000, None, *["é" * 1_000_000] * 12]
+    batch = pa.RecordBatch.from_pydict({"grp": ["zh", "zh", None, *["fr"] * 11], "text": texts})
+    want = {("zh", c): 300_000 for c in "猫a\U00031350"} | {(None, "é"): 1_000_000, ("fr", "é"): 11_000_000}
+    tracemalloc.start()
+    got = Counter()
+    for part in frame.count(iter([batch])):
+        for r in part.to_pylist():
+            got[r["grp"], chr(r["code_point"])] += r["n"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want
+    assert peak < 60e6
+
+
 def test_token_ratios(spark):
     got = {r.lang: (r.tokens, r.words) for r in profiling.token_word_ratio(token_texts(spark), "text", ["lang"]).collect()}
     assert got["en"] == (10, 9) and got["zh"] == (2, 1)
