@@ -49,6 +49,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of the map of keys, and bits of a row (4 KB).
+MAP_ROWS, MAP_BITS = 2048, 32_768
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose ``on`` may be among those of ``keys``, rows whose ``on`` is not).
+
+    The second need no join, and so no shuffle. A map of hashes with one bit each, 8 MB at most, is broadcast; where
+    hashes share a bit the first part has some rows too many. ``keys`` and ``df`` are read twice: pass tables that are
+    stored or cheap.
+    """
+    part, place, bits = fresh(df, "_part", "_place", "_bits")
+    hashed = F.pmod(F.xxhash64(*on), F.lit(MAP_ROWS * MAP_BITS))
+    spot = F.pmod(F.col(place), F.lit(MAP_BITS))
+    marks = (
+        keys.select(hashed.alias(place)).groupBy(F.floor(F.col(place) / MAP_BITS).alias(part))
+        .agg(F.bitmap_construct_agg(spot).alias(bits))
+    )
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    known = F.coalesce(F.getbit(byte, F.pmod(spot, F.lit(8)).cast("int")) == 1, F.lit(False))
+    marked = df.withColumn(place, hashed).withColumn(part, F.floor(F.col(place) / MAP_BITS)).join(F.broadcast(marks), part, "left")
+    return tuple(marked.filter(where).drop(part, place, bits) for where in (known, ~known))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``; without it Spark evaluates a repeated expression every time."""
     return F.transform(F.array(value), body)[0]

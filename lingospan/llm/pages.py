@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingospan.llm.common import cut, fresh
+from lingospan.llm.common import cut, fresh, split_by_keys
 
 # Element names of HTML and words that sites use in class, id and role.
 BLOCKS = frozenset(
@@ -373,7 +373,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     templates = cut(_templates(compared))
     if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
         templates = F.broadcast(templates)
-    # Pages of which nothing can go need not meet their html again.
+    # Pages of which nothing can go need not meet their html again: it is not shuffled.
     known = compared.join(templates, "host", "left").filter("shared IS NOT NULL OR template IS NOT NULL").select(
         F.col("key").alias(row), F.col("shared").alias(shared), F.col("template").alias(template)
     )
@@ -384,11 +384,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         found = [main_text(p or "", *known) for p, *known in zip(page, *sets, strict=True)]
         return pd.Series(found, index=page.index, dtype=object)
 
+    touched, whole = split_by_keys(keyed, known, [row])
+    nothing = {shared: F.lit(None).cast("array<int>"), template: F.lit(None).cast("array<bigint>")}
     return (
-        keyed.join(known, row, "left")
+        touched.join(known, row, "left").unionByName(whole.withColumns(nothing))
         .withColumn("text", texts(F.col(html_col), F.col(shared), F.col(template)))
         .drop(row, shared, template)
-    )
+    )
 
 
 def op3_nearest_url_difference(pages: DataFrame) -> DataFrame:

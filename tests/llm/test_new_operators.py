@@ -15,7 +15,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lingospan.llm import chat, common, divergence, personal, whitening
+from lingospan.llm import chat, common, divergence, pages, personal, repeats, whitening
 
 # Whitening
 
@@ -323,3 +323,36 @@ def test_no_local_folder_on_a_cluster(spark):
     assert common.shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
     assert common.shared_folder(session("local[2]")).startswith(tempfile.gettempdir())
     assert common.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_split_by_keys(spark):
+    df = spark.createDataFrame([(i % 700 or None, str(i % 3), i) for i in range(5000)], "a bigint, b string, _part int")
+    keys = spark.createDataFrame([(i, "1") for i in range(1, 700, 2)] + [(None, "0")], "a bigint, b string")
+    may, rest = (set(map(tuple, x.collect())) for x in common.split_by_keys(df, keys, ["a", "b"]))
+    wanted = {(i, "1") for i in range(1, 700, 2)} | {(None, "0")}
+    assert not may & rest and may | rest == set(map(tuple, df.collect()))
+    among = {r for r in may | rest if r[:2] in wanted}
+    assert among <= may and len(may) <= len(among) + 50
+
+
+@pytest.mark.parametrize("module", [pages])
+def test_rows_that_lose_nothing_are_not_joined(spark, monkeypatch, module):
+    parts = []
+
+    def split(*args):
+        parts.append(common.split_by_keys(*args))
+        return parts[-1]
+
+    monkeypatch.setattr(module, "split_by_keys", split)
+    letters = random.Random(4)
+    texts = ["".join(letters.choices("abcdefgh ", k=300)) for _ in range(40)]
+    if module is pages:
+        rows = [(i, f"http://h{i // 2}/a/{i}", f"<p>{t}</p><p>shared {i // 2}</p>" if i < 6 else f"<p>{t}</p>") for i, t in enumerate(texts)]
+        got = pages.op3_nearest_url_difference(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {i: " ".join(t.split()) for i, t in enumerate(texts)}
+    else:
+        rows = [(i, t if i < 34 else texts[i - 34] + t) for i, t in enumerate(texts)]
+        got = repeats.op7_prefix_free_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {i: 300 * (i >= 34) for i in range(40)}
+    touched, whole = parts[-1]
+    assert (touched.count(), whole.count()) == (6, 34)
