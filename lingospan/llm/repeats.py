@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingospan.llm.common import cut
+from lingospan.llm.common import cut, split_by_keys
 from lingospan.llm.shingles import _BASE, _UNBASE, _VALUE, mix, powers
 
 #: Bytes of a repeated string, and of a trigger.
 LENGTH, GRAM = 100, 36
+#: Bits of a trigger's hash by which phrases are brought together: more only saves comparisons.
+ROUTE_BITS = 40
 #: Bits of a packed value that hold a position; texts are parsed in stretches that fit.
 PLACE_BITS = 21
 STRETCH = 1 << 19
@@ -37,6 +39,7 @@ CHUNK_BYTES = 16 << 20
 BROADCAST_ROWS = 1_500_000
 
 _U = np.uint64
+_ROUTE = _U((1 << ROUTE_BITS) - 1)
 
 
 def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -159,7 +162,8 @@ def _batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[li
         yield ids, twins, texts
 
 
-_PHRASE = "route bigint, phrase bigint, doc_id bigint, at bigint, twin bigint"
+#: In an order that lets zeros meet, which take no room in a shuffle.
+_PHRASE = "phrase bigint, doc_id bigint, at bigint, twin bigint, route bigint"
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +176,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(route, phrase, doc, at, twin):
         return pa.RecordBatch.from_arrays(
-            [pa.array(route.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(at), pa.array(twin)],
-            ["route", "phrase", "doc_id", "at", "twin"],
+            [pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(at), pa.array(twin), pa.array((route & _ROUTE).view(np.int64))],
+            ["phrase", "doc_id", "at", "twin", "route"],
         )
 
     for ids, twins, texts in _batched(batches, CHUNK_BYTES):
@@ -241,7 +245,10 @@ def _ranges(keyed: DataFrame) -> DataFrame:
     open_ones = known.filter("NOT again AND at % 128 > 0").select("doc_id", "twin", "at")
     places = cut(open_ones.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("at")).alias("places")))
     total = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    side = F.broadcast(places) if total <= BROADCAST_ROWS else places
+    if total <= BROADCAST_ROWS:
+        opened = source.join(F.broadcast(places), ["doc_id", "twin"])
+    else:
+        opened = split_by_keys(source, places, ["doc_id", "twin"])[0].join(places, ["doc_id", "twin"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +268,7 @@ def _ranges(keyed: DataFrame) -> DataFrame:
                     ["suffix", "doc_id", "start", "twin"],
                 )
 
-    found = source.join(side, ["doc_id", "twin"]).select("doc_id", "twin", "text", "places").mapInArrow(
+    found = opened.select("doc_id", "twin", "text", "places").mapInArrow(
         suffixes, "suffix bigint, doc_id bigint, start bigint, twin bigint"
     )
     first = Window.partitionBy("suffix").orderBy("doc_id", "start")
@@ -293,6 +300,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = _keyed(docs, id_col, text_col)
     by_document = _ranges(source).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            edges = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+            row, start, stop = _spans(row, *edges)
+            offsets = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], fields=list(_RANGES.value_type))
+            merged = pa.ListArray.from_arrays(pa.array(offsets), spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), merged], ["doc_id", "twin", "ranges"])
+
+    spans_of = cut(by_document.mapInArrow(joined, "doc_id bigint, twin bigint, ranges array<struct<start:bigint,stop:bigint>>"))
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -313,9 +334,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 _OUT.names,
             )
 
-    return source.join(by_document, ["doc_id", "twin"], "left").select("id", "text", "ranges").mapInArrow(remove, _OUT)
+    # Texts that lose nothing need not meet their ranges: they are not shuffled.
+    touched, whole = split_by_keys(source, spans_of, ["doc_id", "twin"])
+    nothing = F.lit(None).cast(spans_of.schema["ranges"].dataType)
+    rows = touched.join(spans_of, ["doc_id", "twin"], "left").select("id", "text", "ranges")
+    return rows.unionByName(whole.select("id", "text", nothing.alias("ranges"))).mapInArrow(remove, _OUT)
 
 
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
 

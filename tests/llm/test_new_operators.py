@@ -335,7 +335,7 @@ def test_split_by_keys(spark):
     assert among <= may and len(may) <= len(among) + 50
 
 
-@pytest.mark.parametrize("module", [pages])
+@pytest.mark.parametrize("module", [pages, repeats])
 def test_rows_that_lose_nothing_are_not_joined(spark, monkeypatch, module):
     parts = []
 
