@@ -106,7 +106,7 @@ def schedule(plan: DataFrame) -> DataFrame:
         .filter("point >= low and point < high")
         .select("slot", "sid", "quota", F.expr(f"slot div {SPAN}").alias("span"))
     )
-    counts = named.groupBy("sid", "span").agg(F.count("*").alias("n"))
+    counts = cut(named.groupBy("sid", "span").agg(F.count("*").alias("n")))
     before = Window.partitionBy("sid").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("sid", "span").orderBy("slot")
@@ -160,7 +160,8 @@ def mix(docs: DataFrame, block_tokens: int = 2048, cap: int = 3, seed: int = 0)
         token_line(sized.join(ids, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), seed).drop("_order")
     )
     slots = schedule(plan)
-    taken = (
+    # One row per block. Stored, as the shares are: the driver's memory follows the exchanges of one plan.
+    taken = cut(
         slots.join(plan.select("sid", "block", "source_size"), "sid")
         .withColumn("full", F.least(F.col("block"), F.col("source_size") - F.col("block_no") * F.col("block")))
         .groupBy("sid", "block_no")
@@ -211,7 +212,7 @@ def mixed_documents(docs: DataFrame, block_tokens: int = 2048, cap: int = 3) ->
     """
     taken = mix(docs, block_tokens, cap)[0].groupBy(F.col("doc_id").alias("_id")).agg(F.try_divide(F.sum("taken"), F.sum("size")))
     times = F.when(F.col("_share") > 0, F.floor(F.col("_share") + 0.5)).otherwise(0).cast("int")
-    shares = taken.toDF("_id", "_share").select("_id", times.alias("_times")).filter("_times > 0")
+    shares = cut(taken.toDF("_id", "_share").select("_id", times.alias("_times")).filter("_times > 0"))
     return (
         docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_id")))
         .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times"))))

@@ -679,6 +679,12 @@ def test_schedule_has_low_discrepancy(spark, docs):
         assert all(abs(seen[s] - k * total[s] / len(order)) < 6 for s in total)
 
 
+def test_a_mix_is_planned_in_parts(docs, capsys):
+    mixing.mixed_documents(docs).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan and plan.count("Exchange") <= 4, plan.count("Exchange")
+
+
 def test_mixed_documents_keep_columns(docs):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
